@@ -8,6 +8,8 @@ project can pass its own.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ TOKEN = (
     r"|\S"
 )
 
-URL_START = r"^(?:https?://|www\.)"
+URL_STARTS = ("http://", "https://", "www.")
 
 # English closed-class words by part of speech.
 CLOSED_CLASS = {
@@ -34,7 +36,7 @@ CLOSED_CLASS = {
     ).split(),
     "ADP": (
         "of in on at by for with from into onto over under about against between "
-        "through during before after above below up down out off"
+        "through during before after above below up down out off as"
     ).split(),
     "CCONJ": "and or but nor".split(),
     "SCONJ": "if because although while since unless whereas".split(),
@@ -75,25 +77,42 @@ def tokens(sentence: Column) -> Column:
     return F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0))
 
 
-def pos_tag(token: Column, first_in_sentence: Column, rules: TagRules) -> Column:
-    low = F.lower(token)
-    tag = F.when(token.rlike(URL_START), F.lit("X"))
-    tag = tag.when(token.rlike("^[0-9]"), "NUM")
-    tag = tag.when(token.rlike(r"^\p{P}"), "PUNCT")
-    tag = tag.when(~token.rlike(r"^\p{L}"), "SYM")
+def pos_tag(token: Column, low: Column, first_in_sentence: Column, rules: TagRules) -> Column:
+    """Part of speech of a token; ``low`` is its lower case.
+
+    Cheap tests come first: the first character decides between words and the
+    rest, one set lookup settles whether a word is of a closed class at all, and
+    endings are compared as strings. Regular expressions see one character.
+    """
+    first = F.substring(token, 1, 1)
+    closed = None
     for pos, words in rules.closed_class.items():
-        tag = tag.when(low.isin(words), pos)
+        hit = low.isin(words)
+        closed = F.when(hit, pos) if closed is None else closed.when(hit, pos)
+    known = [w for words in rules.closed_class.values() for w in words]
+    word = F.when(is_url(token), F.lit("X")).when(low.isin(known), closed)
     for pos, endings in rules.suffixes.items():
-        tag = tag.when(low.rlike("(?:" + "|".join(endings) + ")$"), pos)
-    tag = tag.when(token.rlike(r"^\p{Lu}") & ~first_in_sentence, "PROPN")
-    return tag.otherwise("NOUN")
+        word = word.when(reduce(or_, [low.endswith(e) for e in endings]), pos)
+    capital = (first != F.lower(first)) & ~first_in_sentence
+    word = word.when(capital, "PROPN").otherwise("NOUN")
+    other = (
+        F.when(first.between("0", "9"), "NUM").when(first.rlike(r"\p{P}"), "PUNCT").otherwise("SYM")
+    )
+    return F.when(first.rlike(r"\p{L}"), word).otherwise(other)
+
+
+def is_url(token: Column) -> Column:
+    return reduce(or_, [token.startswith(s) for s in URL_STARTS])
 
 
-def lemma_of(token: Column, pos: Column, rules: TagRules) -> Column:
+def lemma_of(low: Column, pos: Column, rules: TagRules) -> Column:
     """Lower case; nouns of more than three letters also lose a plural ending."""
-    low = F.lower(token)
-    lemma = F.when((pos != "NOUN") | (F.length(token) <= 3), low)
+    plural = (pos == "NOUN") & (F.length(low) > 3)
+    plural = plural & reduce(or_, [low.endswith(e) for e, _ in rules.plurals])
+    lemma = None
     for ending, replacement in rules.plurals:
         stem = F.substring(low, F.lit(1), F.length(low) - len(ending))
-        lemma = lemma.when(low.endswith(ending), F.concat(stem, F.lit(replacement)))
-    return lemma.otherwise(low)
+        new = F.concat(stem, F.lit(replacement))
+        hit = low.endswith(ending)
+        lemma = F.when(hit, new) if lemma is None else lemma.when(hit, new)
+    return F.when(plural, lemma).otherwise(low)

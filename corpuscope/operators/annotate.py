@@ -39,14 +39,15 @@ def tagged_tokens(corpus: DataFrame, rules: TagRules | None = None) -> DataFrame
     exploded = tokenize(corpus).select(
         "comment_id", "doc_id", "sentence_id", F.posexplode("tokens").alias("i", "token")
     )
-    tagged = exploded.withColumn("pos", pos_tag(F.col("token"), F.col("i") == 0, rules))
+    low = exploded.withColumn("low", F.lower("token"))
+    tagged = low.withColumn("pos", pos_tag(F.col("token"), F.col("low"), F.col("i") == 0, rules))
     return tagged.select(
         "comment_id",
         "doc_id",
         "sentence_id",
         (F.col("i") + 1).alias("token_id"),
         "token",
-        lemma_of(F.col("token"), F.col("pos"), rules).alias("lemma"),
+        lemma_of(F.col("low"), F.col("pos"), rules).alias("lemma"),
         "pos",
     )
 
@@ -66,35 +67,46 @@ def annotate(corpus: DataFrame, rules: TagRules | None = None) -> DataFrame:
     without such a noun, is its own head.
     """
     rules = rules or TagRules()
-    tags = tokenize(corpus).withColumn(
-        "tags", F.transform("tokens", lambda t, i: pos_tag(t, i == 0, rules))
-    )
 
-    def word(token, i):
-        pos = F.element_at("tags", i + 1)
-        ahead = F.slice("tags", i + 2, F.lit(rules.head_window))
-        offset = F.when(
-            pos.isin(*rules.modifiers), F.array_position(ahead, F.lit("NOUN")).cast("int")
-        ).otherwise(F.lit(0))
-        return F.struct(token.alias("token"), pos.alias("pos"), offset.alias("offset"))
+    def with_lookahead(token, i):
+        return F.struct(
+            token.alias("token"), F.slice("tokens", i + 2, F.lit(rules.head_window)).alias("ahead")
+        )
 
-    exploded = tags.select(
+    exploded = tokenize(corpus).select(
         "comment_id",
         "doc_id",
         "sentence_id",
-        F.posexplode(F.transform("tokens", word)).alias("i", "w"),
+        F.posexplode(F.transform("tokens", with_lookahead)).alias("i", "w"),
     )
-    token, pos, offset = F.col("w.token"), F.col("w.pos"), F.col("w.offset")
-    return exploded.select(
+    low = exploded.select(
         "comment_id",
         "doc_id",
         "sentence_id",
         (F.col("i") + 1).alias("token_id"),
-        token.alias("token"),
-        lemma_of(token, pos, rules).alias("lemma"),
-        pos.alias("pos"),
-        (F.col("i") + 1 + offset).alias("head_token_id"),
-        dep_label(offset > 0, pos).alias("dep_rel"),
+        F.col("w.token").alias("token"),
+        F.lower("w.token").alias("low"),
+        F.col("w.ahead").alias("ahead"),
+    )
+    first = F.col("token_id") == 1
+    tagged = low.withColumn("pos", pos_tag(F.col("token"), F.col("low"), first, rules))
+    tags_ahead = F.zip_with(
+        "ahead", F.transform("ahead", F.lower), lambda t, l: pos_tag(t, l, F.lit(False), rules)
+    )
+    offset = F.when(
+        F.col("pos").isin(*rules.modifiers), F.array_position(tags_ahead, F.lit("NOUN")).cast("int")
+    ).otherwise(F.lit(0))
+    headed = tagged.withColumn("offset", offset)
+    return headed.select(
+        "comment_id",
+        "doc_id",
+        "sentence_id",
+        "token_id",
+        "token",
+        lemma_of(F.col("low"), F.col("pos"), rules).alias("lemma"),
+        "pos",
+        (F.col("token_id") + F.col("offset")).alias("head_token_id"),
+        dep_label(F.col("offset") > 0, F.col("pos")).alias("dep_rel"),
     )
 
 

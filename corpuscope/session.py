@@ -58,10 +58,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work to all cores when the scan has few splits.
 
-    A scan with at least as many splits as cores is left alone, so large inputs
+    Several parts per core even out long and short texts. A scan with at least as many splits as cores is left alone, so large inputs
     are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(4 * cores)

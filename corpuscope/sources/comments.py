@@ -108,19 +108,24 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "format": batch["format"], "raw": texts, "error": errors})
 
 
-def extract_attachment_text(spark: SparkSession, folder: str, ocr_threshold: int = 100) -> DataFrame:
-    """Text of stored files; short or undecodable ones are flagged ``needs_ocr``.
-
-    Decoding DOCX packages is the one step that needs Python; everything after
-    it is expressions. A damaged file gives a null text and its error.
-    """
-    files = (
+def read_attachment_files(spark: SparkSession, folder: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .select("path", F.lower(file_ext("path")).alias("format"), "content")
+        .select("path", "content")
     )
-    decoded = files.mapInPandas(_decode, "path string, format string, raw string, error string")
+
+
+def extract_attachment_text(files: DataFrame, ocr_threshold: int = 100) -> DataFrame:
+    """Text of stored files (path, content); short or undecodable ones are ``needs_ocr``.
+
+    Opening DOCX packages and decoding bytes is the one step that needs Python;
+    everything after it is expressions. A damaged file gives a null text and its
+    error. Names are ``<comment>-<docOrder>.<format>``.
+    """
+    typed = files.select("path", F.lower(file_ext("path")).alias("format"), "content")
+    decoded = typed.mapInPandas(_decode, "path string, format string, raw string, error string")
     plain = F.when(F.col("format").isin("html", "htm"), strip_html("raw")).otherwise(F.col("raw"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     text = squish(plain)
