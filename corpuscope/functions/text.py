@@ -76,7 +76,8 @@ def composite(*cols: Column | str, sep: str = ".") -> Column:
     return F.concat_ws(sep, *[as_col(c) for c in cols])
 
 
-def count_with_percent(n: Column | str, share: Column | str, decimals: int = 0) -> Column:
-    """Table cell such as ``1,234 (56%)``."""
-    pct = F.format_number(F.round(as_col(share) * 100, decimals), decimals)
-    return F.concat(F.format_number(as_col(n).cast("long"), 0), F.lit(" ("), pct, F.lit("%)"))
+def count_with_percent(n: Column | str, total: Column | str, decimals: int = 0) -> Column:
+    """Table cell such as ``1,234 (56%)``; whole counts keep halves exact."""
+    count = as_col(n).cast("long")
+    pct = F.format_number(F.round(count * 100 / as_col(total), decimals), decimals)
+    return F.concat(F.format_number(count, 0), F.lit(" ("), pct, F.lit("%)"))

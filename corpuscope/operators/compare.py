@@ -16,7 +16,6 @@ from .corpus import keyword_flags
 from .tables import (
     complete,
     exact_quantiles,
-    frequencies,
     histogram,
     pivot_fill,
     pivot_many,
@@ -71,11 +70,9 @@ def noun_share(coded: DataFrame, nouns: Sequence[str] | None = None) -> DataFram
 def noun_share_summary(shares: DataFrame) -> DataFrame:
     """Mean and median share by coding, noun and side."""
     by = ["coding", "noun", "support"]
-    table = frequencies(shares, "share", by)
-    medians = exact_quantiles(table, "share", {"share_median": 0.5}, by, freq="__freq", moments=True)
-    sizes = table.groupBy(*by).agg(F.sum("__freq").alias("n_docs"))
-    return sizes.join(medians, by).select(
-        *by, "n_docs", F.col("mean").alias("share_mean"), "share_median"
+    table = exact_quantiles(shares, "share", {"share_median": 0.5}, by, moments=True)
+    return table.select(
+        *by, F.col("size").alias("n_docs"), F.col("mean").alias("share_mean"), "share_median"
     )
 
 

@@ -39,13 +39,14 @@ def hash_rank(
     seed: int | str,
     strata: Sequence[str] = (),
     out: str = "hash_rank",
+    size: str | None = None,
     digits: int = 3,
 ) -> DataFrame:
-    """Exact 1-based rank in hash order, within strata.
+    """Exact 1-based rank in hash order, within strata; ``size`` adds their sizes.
 
     The hash is uniform, so its first digits cut even one all-holding stratum
     into equal buckets; only bucket counts (16^digits per stratum) are summed up
-    in order.
+    in order. Rows are shuffled by stratum and bucket, never by stratum alone.
     """
     strata = list(strata)
     keyed = df.withColumn("__h", hash_order(key, seed)).withColumn(
@@ -57,13 +58,16 @@ def hash_rank(
         keyed.groupBy(*groups)
         .agg(F.count("*").alias("__n"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        .withColumn("__size", F.sum("__n").over(W.partitionBy(*strata)))
         .drop("__n")
     )
     inside = W.partitionBy(*groups).orderBy("__h", key)
     ranked = keyed.withColumn("__in", F.row_number().over(inside))
     joined = _null_safe_join(ranked, offsets, groups, "inner")
+    if size is not None:
+        joined = joined.withColumn(size, F.col("__size"))
     return joined.withColumn(out, F.col("__in") + F.col("__before")).drop(
-        "__h", "__b", "__in", "__before"
+        "__h", "__b", "__in", "__before", "__size"
     )
 
 
@@ -73,10 +77,13 @@ def running_total(
     weight: str,
     by: Sequence[str] = (),
     out: str = "cumulative",
+    total: str | None = None,
     buckets: int = 64,
 ) -> DataFrame:
     """Running sum of ``weight`` in order of ``value``; one row per (by, value).
 
+    ``total`` adds the sum of the whole group.
+
     Cut points come from one approximate-quantile row; wherever they fall, the
     sums are exact, since each bucket starts from the total of those before it.
     """
@@ -94,6 +101,7 @@ def running_total(
         bucketed.groupBy(*groups)
         .agg(F.sum(weight).alias("__w"))
         .withColumn("__before", F.coalesce(F.sum("__w").over(before), F.lit(0)))
+        .withColumn("__total", F.sum("__w").over(W.partitionBy(*by)))
         .drop("__w")
     )
     inside = (
@@ -101,8 +109,10 @@ def running_total(
     )
     summed = bucketed.withColumn("__in", F.sum(weight).over(inside))
     joined = _null_safe_join(summed, offsets, groups, "inner")
+    if total is not None:
+        joined = joined.withColumn(total, F.col("__total"))
     return joined.withColumn(out, F.col("__in") + F.col("__before")).drop(
-        "__b", "__in", "__before"
+        "__b", "__in", "__before", "__total"
     )
 
 

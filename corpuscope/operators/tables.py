@@ -78,18 +78,14 @@ def exact_quantiles(
 
     Works on value frequencies with a bucketed running sum, so a group of any
     size is spread over tasks. ``freq`` names a frequency column when ``df`` is
-    already a table of (by, value, frequency). ``moments`` adds min, mean and max.
+    already a table of (by, value, frequency). ``moments`` adds
+    size, min, mean and max.
     """
     by = list(by)
     table = (
         df.withColumnRenamed(freq, "__freq") if freq else frequencies(df, value, by)
     )
-    cum = running_total(table, value, "__freq", by, out="__cum")
-    sizes = table.groupBy(*by).agg(F.sum("__freq").alias("__N"))
-    if by:
-        cum = _null_safe_join(cum, sizes, by, "inner")
-    else:
-        cum = cum.withColumn("__N", sizes.scalar())
+    cum = running_total(table, value, "__freq", by, out="__cum", total="__N")
     v = F.col(value).cast("double")
     picks = [F.max("__N").alias("__N")]
     if moments:
@@ -106,7 +102,8 @@ def exact_quantiles(
         frac = at - F.floor(at)
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         out = out.withColumn(name, F.when(frac == 0, lo).otherwise(lo + frac * (hi - lo)))
-    return out.select(*by, *probs, *(["min", "mean", "max"] if moments else []))
+    extra = [F.col("__N").alias("size"), "min", "mean", "max"] if moments else []
+    return out.select(*by, *probs, *extra)
 
 
 def six_numbers(df: DataFrame, value: str) -> DataFrame:
@@ -124,11 +121,9 @@ def weighted_mean(x: Column | str, w: Column | str) -> Column:
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Cumulative share of rows at or below each distinct value."""
-    table = frequencies(df, value)
-    total = table.agg(F.sum("__freq"))
-    cum = running_total(table, value, "__freq", out="__cum")
+    cum = running_total(frequencies(df, value), value, "__freq", out="__cum", total="__N")
     return cum.select(
-        value, F.col("__freq").alias("n"), (F.col("__cum") / total.scalar()).alias("ecdf")
+        value, F.col("__freq").alias("n"), (F.col("__cum") / F.col("__N")).alias("ecdf")
     )
 
 
@@ -252,12 +247,10 @@ def shuffle_rows(df: DataFrame, key: str, seed: int | str) -> DataFrame:
 
 def stratified_split(df: DataFrame, key: str, label: str, prop: float, seed: int | str) -> DataFrame:
     """Mark floor(prop * size) rows of each label as ``train``, the rest as ``test``."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("__size"))
-    ranked = hash_rank(df, key, seed, [label], out="__r")
-    joined = _null_safe_join(ranked, sizes, [label], "inner")
-    is_train = F.col("__r") <= F.floor(F.col("__size") * F.lit(prop))
-    return joined.withColumn("split", F.when(is_train, "train").otherwise("test")).drop(
-        "__r", "__size"
+    ranked = hash_rank(df, key, seed, [label], out="__r", size="__N")
+    is_train = F.col("__r") <= F.floor(F.col("__N") * F.lit(prop))
+    return ranked.withColumn("split", F.when(is_train, "train").otherwise("test")).drop(
+        "__r", "__N"
     )
 
 
@@ -273,17 +266,16 @@ def upsample(df: DataFrame, key: str, label: str, seed: int | str) -> DataFrame:
     Each row is kept floor(max/size) times, and the first max mod size rows in
     hash order once more, so every row stays.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("__size"))
-    largest = sizes.agg(F.max("__size"))
-    ranked = hash_rank(df, key, seed, [label], out="__r")
-    joined = _null_safe_join(ranked, sizes, [label], "inner").withColumn(
+    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n"))
+    ranked = hash_rank(df, key, seed, [label], out="__r", size="__N").withColumn(
         "__max", largest.scalar()
     )
-    size, most = F.col("__size"), F.col("__max")
+    size, most = F.col("__N"), F.col("__max")
     copies = F.floor(most / size) + F.when(F.col("__r") <= most % size, 1).otherwise(0)
-    return joined.withColumn(
+    return ranked.withColumn(
         "copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))
-    ).drop("__r", "__size", "__max")
+    ).drop("__r", "__N", "__max")
 
 
 # --- reshaping ----------------------------------------------------------------

@@ -226,5 +226,4 @@ FROM (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS total FROM documents
 def count_with_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n"))
-    share = F.col("n") / total.scalar()
-    return counts.select("lang", S.count_with_percent("n", share).alias("cell"))
+    return counts.select("lang", S.count_with_percent("n", total.scalar()).alias("cell"))
