@@ -143,7 +143,7 @@ def penalty_grid(levels: int = 30, low: float = -10.0, high: float = 0.0) -> lis
     return [10.0**x for x in np.linspace(low, high, levels)]
 
 
-def _lasso(penalty: float) -> LogisticRegression:
+def lasso(penalty: float) -> LogisticRegression:
     return LogisticRegression(
         elasticNetParam=1.0, regParam=penalty, weightCol="weight", maxIter=100
     )
@@ -176,7 +176,7 @@ def tune_lasso(train: DataFrame, penalties: Sequence[float], fold: str = "fold")
         fit_on, held = train.filter(F.col(fold) != f), train.filter(F.col(fold) == f)
         scored = None
         for p in penalties:
-            model = _lasso(p).fit(fit_on)
+            model = lasso(p).fit(fit_on)
             part = model.transform(held).select(
                 F.lit(p).alias("penalty"),
                 F.lit(f).alias("fold"),
@@ -204,7 +204,7 @@ def show_best(tuning: DataFrame, metric: str = "bal_accuracy", n: int = 5) -> Da
 def fit_best(train: DataFrame, tuning: DataFrame, metric: str = "bal_accuracy"):
     """Lasso on the whole training set at the best penalty."""
     best = show_best(tuning, metric, 1).first()
-    return _lasso(best["penalty"]).fit(train)
+    return lasso(best["penalty"]).fit(train)
 
 
 def fit_forest(train: DataFrame, trees: int = 1000, max_depth: int = 10, seed: int = 0):

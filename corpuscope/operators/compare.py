@@ -24,6 +24,7 @@ from .tables import (
     top_and_bottom,
     top_n,
     value_order,
+    with_group_value,
 )
 from .vocab import extract_noun
 
@@ -90,8 +91,8 @@ def noun_share_table(shares: DataFrame, nouns: Sequence[str]) -> DataFrame:
 def occurrence(coded: DataFrame, term: str, out: str = "n") -> DataFrame:
     """Share of each side's comments that contain a term.
 
-    Rows are first made distinct and counted; side totals then meet the counts,
-    not the rows.
+    Rows are first made distinct and counted; the few side totals then meet the
+    counts, not the rows.
     """
     by = ["coding", "support"]
     totals = coded.groupBy(*by).agg(F.countDistinct("comment_id").alias("n_docs"))
@@ -101,7 +102,8 @@ def occurrence(coded: DataFrame, term: str, out: str = "n") -> DataFrame:
         .groupBy(*by, term)
         .agg(F.count("*").alias(out))
     )
-    return counts.join(totals, by).withColumn("p", F.col(out) / F.col("n_docs"))
+    sized = with_group_value(counts, totals, by, "n_docs")
+    return sized.withColumn("p", F.col(out) / F.col("n_docs"))
 
 
 def noun_occurrence(coded: DataFrame) -> DataFrame:
@@ -153,17 +155,21 @@ def token_llr(tokens: DataFrame, codings: DataFrame) -> DataFrame:
     sided = codings.filter(F.col("support").isin(*SIDES)).select(
         "coding", "comment_id", "support"
     )
-    by = ["coding", "support"]
-    totals = sided.groupBy(*by).agg(F.count("*").alias("total"))
+    per_side = [F.count_if(F.col("support") == side).alias(side) for side in SIDES]
+    totals = sided.groupBy("coding").agg(F.struct(*per_side).alias("total"))
     counts = (
         tokens.select("comment_id", "lemma")
         .distinct()
         .join(sided, "comment_id", "inner")
-        .groupBy(*by, "lemma")
-        .agg(F.count("*").alias("n"))
+        .groupBy("coding", "lemma")
+        .agg(F.struct(*per_side).alias("n"))
     )
-    shares = counts.join(totals, by, "left").withColumn("share", F.col("n") / F.col("total"))
-    wide = pivot_fill(shares, ["coding", "lemma"], "support", "share", SIDES, 0.0)
+    sized = with_group_value(counts, totals, ["coding"], "total")
+    shares = [
+        F.when(F.col(f"total.{x}") > 0, F.col(f"n.{x}") / F.col(f"total.{x}")).otherwise(0.0).alias(x)
+        for x in SIDES
+    ]
+    wide = sized.select("coding", "lemma", *shares)
     return wide.withColumn("llr", F.log1p("oppose") - F.log1p("support"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     renamed = right
@@ -128,14 +130,16 @@ def join_by_frequency(
 
     Fewer than ``max_hot`` keys can each hold more than 1/max_hot of all
     occurrences, so the hot part of the lookup is broadcast safely; rows with a
-    hot key never enter the shuffle of the cold part.
+    hot key never enter the shuffle of the cold part. The lookup, one row per
+    key, is stored first, since it is read for its total and for both parts.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    total = right.agg(F.sum(frequency))
+    lookup = written(right, "lookup")
+    total = lookup.agg(F.sum(frequency))
     is_hot = F.coalesce(F.col(frequency) > total.scalar() / F.lit(max_hot), F.lit(False))
-    hot = right.filter(is_hot)
-    cold = right.filter(~is_hot)
+    hot = lookup.filter(is_hot)
+    cold = lookup.filter(~is_hot)
     by_broadcast = left.join(F.broadcast(hot), on, "inner")
     by_shuffle = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
     return by_broadcast.unionByName(by_shuffle)

@@ -113,6 +113,21 @@ def six_numbers(df: DataFrame, value: str) -> DataFrame:
     return out.select("min", "q1", "median", "mean", "q3", "max")
 
 
+def with_group_value(df: DataFrame, groups: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Attach a value per group where the groups are a handful.
+
+    ``groups`` (one row per keys) travels as one map in a scalar subquery, so
+    rows are not shuffled by a key with few values.
+    """
+    entries = F.collect_list(F.struct(F.struct(*keys), F.col(value)))
+    table = groups.agg(F.map_from_entries(entries))
+    return (
+        df.withColumn("__map", table.scalar())
+        .withColumn(value, F.element_at("__map", F.struct(*keys)))
+        .drop("__map")
+    )
+
+
 def weighted_mean(x: Column | str, w: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     w = F.col(w) if isinstance(w, str) else w

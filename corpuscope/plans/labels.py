@@ -229,7 +229,7 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _fitted(spark: SparkSession, sf_dir: str):
     train, features = _prepared(spark, sf_dir)
-    return M._lasso(0.01).fit(train), train, features
+    return M.lasso(0.01).fit(train), train, features
 
 
 @query()

@@ -32,8 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        jvm_dir = spark.sparkContext.getCheckpointDir()
-        folder = jvm_dir or tempfile.mkdtemp(prefix="corpuscope-")
+        folder = spark.sparkContext.getCheckpointDir()
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corpuscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
