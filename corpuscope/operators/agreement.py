@@ -53,6 +53,8 @@ def krippendorff_alpha(
 ) -> DataFrame:
     """Nominal alpha over units with at least two values; nulls are missing.
 
+    Undefined, hence null, when only one value occurs.
+
     From the value counts per unit, the coincidence matrix's diagonal and its
     margins are all that the nominal coefficient needs, so no pairs are formed.
     """
@@ -71,7 +73,7 @@ def krippendorff_alpha(
     squares = F.sum(F.col("nc") * F.col("nc"))
     return margins.agg(
         n.cast("long").alias("n_values"),
-        (1 - (n - 1) * (n - same) / (n * n - squares)).alias("alpha"),
+        (1 - F.try_divide((n - 1) * (n - same), n * n - squares)).alias("alpha"),
     )
 
 

@@ -40,12 +40,12 @@ def across(df: DataFrame, names: Sequence[str], f: Callable[[Column], Column]) -
 def share_of_total(df: DataFrame, n: str, out: str = "share") -> DataFrame:
     """n / sum(n) over the whole frame, the total as a scalar subquery."""
     total = df.agg(F.sum(n))
-    return df.withColumn(out, F.col(n) / total.scalar())
+    return df.withColumn(out, F.try_divide(F.col(n), total.scalar()))
 
 
 def share_within(df: DataFrame, by: Sequence[str], n: str, out: str = "share") -> DataFrame:
     """n / sum(n) within groups; meant for frames that are already aggregated."""
-    return df.withColumn(out, F.col(n) / F.sum(n).over(W.partitionBy(*by)))
+    return df.withColumn(out, F.try_divide(F.col(n), F.sum(n).over(W.partitionBy(*by))))
 
 
 def count_share(df: DataFrame, *keys: str) -> DataFrame:
@@ -131,7 +131,7 @@ def with_group_value(df: DataFrame, groups: DataFrame, keys: Sequence[str], valu
 def weighted_mean(x: Column | str, w: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     w = F.col(w) if isinstance(w, str) else w
-    return F.sum(x * w) / F.sum(w)
+    return F.try_divide(F.sum(x * w), F.sum(w))
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

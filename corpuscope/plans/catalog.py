@@ -24,7 +24,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         if f.__name__ in ENTRIES:
             raise ValueError(f"{f.__name__} is registered twice")
-        ENTRIES[f.__name__] = Entry(f, sql)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Dates and cursors are defined in UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return f(spark, sf_dir)
+
+        ENTRIES[f.__name__] = Entry(run, sql)
         return f
 
     return register

@@ -80,8 +80,8 @@ def extreme_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- samples along a score ---------------------------------------------------------
 
-# A score with ties that every engine computes alike stands for the loadings.
-_SCORE = "(SELECT comment_id, (len % 997)::DOUBLE AS value FROM corpus WHERE docOrder = 0)"
+# A score that every engine computes alike, the length, stands for the loadings.
+_SCORE = "(SELECT comment_id, len::DOUBLE AS value FROM corpus WHERE docOrder = 0)"
 _FORMS = f"(SELECT comment_id FROM corpus WHERE {' OR '.join(_HIT.values())})"
 _SAMPLE = f"""
 , elig AS (SELECT * FROM {_SCORE} WHERE comment_id NOT IN {_FORMS}),
@@ -95,7 +95,7 @@ picked AS (SELECT * FROM ext UNION ALL SELECT * FROM rnd)
 
 def _scores(corpus: DataFrame) -> DataFrame:
     first = corpus.filter(F.col("docOrder") == 0)
-    return first.select("comment_id", (F.col("len") % 997).cast("double").alias("value"))
+    return first.select("comment_id", F.col("len").cast("double").alias("value"))
 
 
 @query(sql(_SAMPLE + "SELECT comment_id, value, side FROM picked", "corpus"))
