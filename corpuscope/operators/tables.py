@@ -214,14 +214,24 @@ def unanimous(value: str) -> Column:
 # --- ranks -------------------------------------------------------------------
 
 
+# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
+LIMIT_PER_TASK = 1000
+
+
 def top_n(df: DataFrame, value: str, n: int, by: Sequence[str] = (), lowest: bool = False) -> DataFrame:
     """The n highest (or lowest) values by minimum rank, ties kept.
 
-    ``rank() <= n`` lets Spark keep n rows and ties per task before it shuffles
-    (up to ``spark.sql.optimizer.windowGroupLimitThreshold``).
+    ``rank() <= n`` lets Spark keep n rows and ties per task before it shuffles,
+    up to ``LIMIT_PER_TASK`` rows. A longer ungrouped list is cut at its n-th
+    value instead, which a distributed sort finds.
     """
     order = F.col(value).asc() if lowest else F.col(value).desc()
-    ranked = df.filter(F.col(value).isNotNull()).withColumn(
+    valued = df.filter(F.col(value).isNotNull())
+    if not by and n > LIMIT_PER_TASK:
+        first = valued.select(value).orderBy(order).limit(n)
+        cut = first.agg(F.max(value) if lowest else F.min(value)).scalar()
+        return valued.filter(F.col(value) <= cut if lowest else F.col(value) >= cut)
+    ranked = valued.withColumn(
         "__rank", F.rank().over(W.partitionBy(*by).orderBy(order))
     )
     return ranked.filter(F.col("__rank") <= n).drop("__rank")

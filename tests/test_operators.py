@@ -43,6 +43,20 @@ def test_top_and_bottom_keeps_ties(spark):
     assert V.top_and_bottom(df, "v", 4).count() == 8
 
 
+@pytest.mark.parametrize("lowest", [False, True])
+def test_long_top_list_keeps_ties(spark, lowest):
+    df = spark.range(4000).select((F.col("id") / 3).cast("int").alias("v"))
+    got = sorted(r.v for r in V.top_n(df, "v", 1500, lowest=lowest).collect())
+    values = sorted((i // 3 for i in range(4000)), reverse=not lowest)
+    edge = values[1499]
+    assert got == sorted(v for v in values if (v <= edge if lowest else v >= edge))
+
+
+def test_alpha_of_one_value_is_null(spark):
+    df = spark.createDataFrame([("1", "y"), ("1", "y")], "comment_id string, support string")
+    assert G.krippendorff_alpha(df).first().alpha is None
+
+
 def test_alpha(spark):
     codes = ["yyyy", "nnnn", "yynn"]
     long = [(str(i), c) for i, unit in enumerate(codes) for c in unit]
