@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, token_counts, urls
+from . import bpe, exact_dedup, substring_dedup, token_counts, urls
 from .common import read
-from .sql import OP3, OP9
+from .sql import OP10, OP3, OP9
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -43,7 +43,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"), outcomes)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op5_token_counts, op9_url_filter)
+    f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op5_token_counts, op9_url_filter, op10_substring_dedup)
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op9_url_filter": OP9}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}

@@ -15,6 +15,26 @@ FROM r
 """
 
 
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS h
+  FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) AS i FROM d)
+), least_id AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h HAVING count(*) > 1),
+repeated AS (SELECT r, i FROM windows JOIN least_id USING (h) WHERE doc_id > first_id),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 12)) AS i FROM repeated),
+word AS (SELECT r, unnest(generate_series(1, len(w))) AS i, unnest(w) AS x FROM d),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t
+  FROM word ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def _rules() -> str:
     rows = []
     for verdict, rule in RULES:
