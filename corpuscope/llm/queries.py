@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, substring_dedup, token_counts, urls
+from . import bpe, exact_dedup, near_dedup, substring_dedup, token_counts, urls
 from .common import read
 from .sql import OP10, OP3, OP9
 
@@ -35,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_limits(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     outcomes = labels.select(
@@ -49,6 +53,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op5_token_counts, op9_url_filter, op10_substring_dedup)
+    f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op5_token_counts, op7_near_dedup, op9_url_filter, op10_substring_dedup)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}
