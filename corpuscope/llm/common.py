@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -57,26 +57,29 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def order_index(
-    df: DataFrame, by: Iterable[Column], out: str, size: int, bucket: Column, within: Sequence[str] = ()
+def running(
+    df: DataFrame, weight: Column, by: Sequence[Column], out: str, bucket: Column, within: Sequence[str] = ()
 ) -> DataFrame:
-    """0-based position in the order of ``by`` (within ``within``).
+    """Sum of ``weight`` over the rows before, in the order of ``by`` (within ``within``).
 
-    ``bucket`` is a long that rises with the order and cuts it into pieces of
-    about ``size`` rows: rows meet by bucket only, and each bucket starts from
-    the number of rows in the buckets before it.
+    ``bucket`` rises with the order; rows meet by bucket only, never all rows of a
+    ``within``, and each bucket starts from the sum over those before it.
     """
     keys = [*within, "__b"]
-    rows = df.withColumn("__b", bucket)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    rows = df.withColumn("__b", bucket).withColumn("__w", weight)
+    sums = rows.groupBy(*keys).agg(F.sum("__w").alias("__s"))
+    # Keys are compared as one struct, which takes nulls as equal.
     before = W.partitionBy(*within).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(
-        *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
-    )
-    inside = W.partitionBy(*keys).orderBy(*by)
-    return (
-        rows.withColumn("__i", F.row_number().over(inside) - 1)
-        .join(starts, keys)
-        .withColumn(out, F.col("__i") + F.col("__start"))
-        .drop("__b", "__i", "__start")
+    starts = sums.select(
+        F.struct(*keys).alias("__k"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start")
     )
+    inside = W.partitionBy(*keys).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    found = rows.withColumn("__in", F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+    joined = found.withColumn("__k", F.struct(*keys)).join(starts, "__k")
+    return joined.withColumn(out, F.col("__in") + F.col("__start")).drop("__k", "__b", "__w", "__in", "__start")
+
+
+def ordered_parts(df: DataFrame, by: Sequence[Column], name: str) -> DataFrame:
+    """A stored table with ``part``, which rises with the order of ``by``."""
+    ranged = df.repartitionByRange(parts(df.sparkSession), *by)
+    return stored(ranged.withColumn("part", F.spark_partition_id().cast("long")), name)

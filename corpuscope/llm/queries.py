@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, substring_dedup, token_counts, urls
+from . import bpe, exact_dedup, mixing, near_dedup, substring_dedup, token_counts, urls
 from .common import read
-from .sql import OP10, OP3, OP9
+from .sql import OP10, OP2, OP3, OP9
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -26,6 +26,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("h")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return exact_dedup.exact_duplicates(docs).drop("n_chars")
@@ -53,6 +57,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op5_token_counts, op7_near_dedup, op9_url_filter, op10_substring_dedup)
+    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op5_token_counts, op7_near_dedup, op9_url_filter, op10_substring_dedup)
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}
+SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .mixing import LIMIT as MIX_LIMIT
+from .mixing import SEED
 from .urls import LIMIT, RULES, Z
 
 OP3 = r"""
@@ -35,6 +37,39 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+# Slots take a source's blocks in turn, so what is taken is the head of its repeated run.
+OP2 = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::HUGEINT AS n,
+    ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS w
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY 3.0 * n / w, source NULLS LAST) AS i FROM s
+), c AS (
+  SELECT *, sum(n) OVER () - coalesce(sum({MIX_LIMIT} * n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+  FROM o
+), cut AS (SELECT min(i) AS i FROM c WHERE rest * w <= {MIX_LIMIT} * n * shares),
+t AS (
+  SELECT c.source, c.n, CASE WHEN c.i < cut.i THEN ({MIX_LIMIT} * c.n)::DOUBLE
+    ELSE (c.w * e.rest)::DOUBLE / e.shares::DOUBLE END AS target
+  FROM c, cut JOIN c e ON e.i = cut.i
+), laid AS (
+  SELECT doc_id, size, t.n, target, floor(target)::HUGEINT AS words,
+    sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, n::BIGINT AS source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE (words // n) * size
+    + greatest(least(start + size, words % n) - start, 0) END::BIGINT AS taken
+FROM laid
+"""
+
+
 def _rules() -> str:
     rows = []
     for verdict, rule in RULES:
