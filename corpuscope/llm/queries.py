@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, substring_dedup, token_counts, urls
+from . import bpe, exact_dedup, fingerprints, mixing, near_dedup, substring_dedup, token_counts, urls
 from .common import read
 from .sql import OP10, OP2, OP3, OP9
 
@@ -43,6 +43,15 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.digest("prints").alias("fingerprint"), fingerprints.digest("edited_prints").alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     outcomes = labels.select(
@@ -57,6 +66,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op5_token_counts, op7_near_dedup, op9_url_filter, op10_substring_dedup)
+    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op5_token_counts, op7_near_dedup, op8_fingerprints, op9_url_filter, op10_substring_dedup)
 }
 SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}
