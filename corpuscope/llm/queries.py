@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, mixing, near_dedup, substring_dedup, token_counts, urls
+from . import bpe, exact_dedup, fingerprints, mixing, near_dedup, pii, substring_dedup, token_counts, urls
 from .common import read
 from .sql import OP10, OP2, OP3, OP9
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+#: A deployment passes its own secret.
+PII_KEY = "corpuscope"
 PIECE_FILE = "piece_bpe_32k.model"
 
 
@@ -35,6 +37,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(docs).drop("n_chars")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+    return masked.select(
+        "doc_id", F.size("pii").cast("long").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"),
+        "text",
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_limits(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
 
@@ -66,6 +77,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op5_token_counts, op7_near_dedup, op8_fingerprints, op9_url_filter, op10_substring_dedup)
+    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op4_pii, op5_token_counts, op7_near_dedup, op8_fingerprints, op9_url_filter, op10_substring_dedup)
 }
 SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}
