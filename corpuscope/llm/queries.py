@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, mixing, near_dedup, pii, substring_dedup, token_counts, urls
+from . import bpe, exact_dedup, fingerprints, mixing, near_dedup, pii, quality, substring_dedup, token_counts, urls
 from .common import read
 from .sql import OP10, OP2, OP3, OP9
 
@@ -50,6 +50,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_limits(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "text_score", "meta_score", "quality_score", "kept")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -77,6 +83,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op4_pii, op5_token_counts, op7_near_dedup, op8_fingerprints, op9_url_filter, op10_substring_dedup)
+    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op4_pii, op5_token_counts, op6_quality, op7_near_dedup, op8_fingerprints, op9_url_filter, op10_substring_dedup)
 }
 SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}
