@@ -226,13 +226,12 @@ class PrefixTable:
 
 
 def _added(df: DataFrame, name: str, kind: str) -> str:
-    if name in df.columns:
-        raise ValueError(f"{name} is already a column")
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` {kind}"])
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the token ids of a text, special tokens excluded; other columns stay."""
+    """Add the token ids of a text, special tokens excluded; other columns stay, one named ``out`` is replaced."""
+    df = df.drop(out)
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -251,7 +250,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids stand for; a null list gives no bytes."""
+    """Add the bytes that the ids stand for; a null list gives no bytes; a column ``out`` is replaced."""
+    df = df.drop(out)
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 

@@ -53,6 +53,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns as one, out of the way of other names; ``select("__doc.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

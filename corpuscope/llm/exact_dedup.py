@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, parts, stored, text_of
+from .common import SPACE, parts, stored, text_of, whole
 
 BLOCK = 4096
 
@@ -121,10 +121,9 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.col(key).alias("__key"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n")
     )
     # Of rows that agree in doc_id, length and normalised text one stays.
-    tagged = docs.withColumn("__of", F.sha2(normalised(text_of(text)).cast("binary"), 256))
-    same = (
-        tagged[key].eqNullSafe(kept["__key"]) & (tagged["__of"] == kept["__sha"])
-        & (F.char_length(text_of(text)).cast("long") == kept["__n"])
+    tagged = docs.select(
+        whole(docs), F.col(key).alias("own"), F.char_length(text_of(text)).cast("long").alias("n"),
+        F.sha2(normalised(text_of(text)).cast("binary"), 256).alias("sha"),
     )
-    once = tagged.join(kept, same).dropDuplicates(["__key", "__sha", "__n"])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col("own").eqNullSafe(F.col("__key")) & (F.col("sha") == F.col("__sha")) & (F.col("n") == F.col("__n"))
+    return tagged.join(kept, same).dropDuplicates(["__key", "__sha", "__n"]).select("__doc.*")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ordered_parts, running, stored, text_of
+from .common import SPACE, ordered_parts, running, stored, text_of, whole
 
 BLOCK, LIMIT, SEED = 1024, 3, "mix"
 WEIGHTS = (1, 2, 3)
@@ -156,7 +156,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     often = mix(docs, key, text, source).filter("size > 0").withColumn("__times", times).filter("__times > 0")
     # Rows that agree in id and text share their copies; the first of them stands for all.
     often = often.groupBy(F.col(key).alias("__key"), F.col("h").alias("__h")).agg(F.sum("__times").alias("__times"))
-    tagged = docs.withColumn("__of", F.xxhash64(text_of(text)))
-    same = tagged[key].eqNullSafe(often["__key"]) & (tagged["__of"] == often["__h"])
+    tagged = docs.select(whole(docs), F.col(key).alias("own"), F.xxhash64(text_of(text)).alias("of"))
+    same = F.col("own").eqNullSafe(F.col("__key")) & (F.col("of") == F.col("__h"))
     once = tagged.join(often, same).dropDuplicates(["__key", "__h"])
-    return once.withColumn("__n", F.explode(F.expr("sequence(1, __times)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.select("__doc", F.explode(F.expr("sequence(1, cast(__times as int))"))).select("__doc.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import small_batches, stored, text_of, words
+from .common import small_batches, stored, text_of, whole, words
 
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -367,6 +367,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, all columns as they were."""
     kept = near_classes(docs, key, text).filter("kept").select("id", "row").distinct()
-    tagged = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64(text_of(text)))
-    same = (tagged["__id"] == kept["id"]) & (tagged["__row"] == kept["row"])
-    return tagged.join(kept, same).dropDuplicates(["id", "row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+    tagged = docs.select(whole(docs), ids.alias("id"), F.xxhash64(text_of(text)).alias("row"))
+    return tagged.join(kept, ["id", "row"]).dropDuplicates(["id", "row"]).select("__doc.*")

@@ -212,9 +212,10 @@ def _judged(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` with the text masked, and ``out``: array of (kind, found, instead) in text order."""
-    if out in docs.columns:
-        raise ValueError(f"{out} is already a column")
+    """``docs`` with the text masked, and ``out``: array of (kind, found, instead) in text order.
+
+    A column ``out`` is replaced.
+    """
     t = F.col(text)
     none = F.array().cast("array<struct<kind:string,found:string,instead:string>>")
     matches = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import small_batches, stored, text_of, words
+from .common import small_batches, stored, text_of, whole, words
 
 WIDTH = 13
 #: Words of one block.
@@ -149,16 +149,16 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Rows of ``docs`` with n_words, n_removed, spans (word intervals) and kept_text added."""
+    """Rows of ``docs`` with n_words, n_removed, spans (word intervals) and kept_text added;
+    columns of these names are replaced."""
     small_batches(docs.sparkSession)
     added = {"n_words": "long", "n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept_text": "string"}
-    if clash := added.keys() & {*docs.columns}:
-        raise ValueError(f"already columns: {sorted(clash)}")
+    docs = docs.drop(*added)
     found = stored(repeated_places(docs, key, text, width), "repeated-places")
     by_row = found.groupBy("id", "row").agg(F.collect_list("data").alias("__places"))
-    tagged = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("__row", F.hash(text_of(text)))
-    both = tagged.join(by_row, (F.col("__id") == F.col("id")) & (F.col("__row") == F.col("row")), "left")
-    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__places")
+    ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+    tagged = docs.select(whole(docs), ids.alias("id"), F.hash(text_of(text)).alias("row"))
+    both = tagged.join(by_row, ["id", "row"], "left").select("__doc.*", "__places")
     columns = docs.columns
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
