@@ -93,7 +93,7 @@ def main() -> None:
 
     def pmi():
         content = store("content", E.content_tokens(ann))
-        run(E.pmi(E.cooccurrence(content), E.unigram_p(content)))
+        run(E.pmi(content))
 
     timed("pmi", pmi)
 

@@ -4,7 +4,7 @@ import sys
 import time
 
 from corpuscope.plans import all_entries
-from corpuscope.session import local_session
+from corpuscope.session import clear_scratch, local_session
 from tests.compare import connect, differences
 
 
@@ -27,6 +27,7 @@ def main() -> int:
                 problems, note = differences(df, con, entry.sql), f"{df.columns}"[:60]
         except Exception as e:  # report and go on with the next query
             problems, note = [f"{type(e).__name__}: {str(e)[:900]}"], ""
+        clear_scratch(spark)
         failed += bool(problems)
         print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - start:.1f}s {note}", flush=True)
         for p in problems:

@@ -171,7 +171,7 @@ def annotate_pending(
     todo = corpus
     if done is not None and not force:
         todo = corpus.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
-    bad = F.concat(F.lit("Length-0 text in "), F.col("doc_id"))
+    bad = F.concat(F.lit("nothing to annotate: empty text of document "), F.col("doc_id"))
     checked = F.when(F.length("text") == 0, F.raise_error(bad)).otherwise(F.col("text"))
     return annotator(todo.withColumn("text", checked))
 

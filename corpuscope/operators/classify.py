@@ -8,6 +8,7 @@ most ``num_terms`` rows, and the corpus is scored by joining that table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -119,21 +120,17 @@ def with_class_weights(df: DataFrame, label: str = "support") -> DataFrame:
 
 
 def feature_vectors(labelled: DataFrame, features: DataFrame, num_terms: int = NUM_TERMS) -> DataFrame:
-    """Labelled comments with an ML vector; comments without features get zeros."""
+    """Labelled comments with an ML vector; comments without features get zeros.
+
+    Meant for the hand-labelled comments and what is put to them, not for the corpus.
+    """
     cells = features.groupBy("comment_id").agg(
-        F.collect_list("bucket").alias("b"), F.collect_list("sign").alias("s")
+        F.map_from_entries(F.collect_list(F.struct("bucket", F.col("sign").cast("double")))).alias("c")
     )
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dense(b: pd.Series, s: pd.Series) -> pd.Series:
-        out = np.zeros((len(b), num_terms))
-        for i, (cols, vals) in enumerate(zip(b, s)):
-            if cols is not None:
-                out[i, cols] = vals
-        return pd.Series(list(out))
-
+    at = F.sequence(F.lit(0), F.lit(num_terms - 1))
+    dense = F.transform(at, lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0.0)))
     joined = labelled.join(cells, "comment_id", "left")
-    return joined.withColumn("features", array_to_vector(dense("b", "s"))).drop("b", "s").withColumn(
+    return joined.withColumn("features", array_to_vector(dense)).drop("c").withColumn(
         "label", (F.col("support") == POSITIVE).cast("double")
     )
 
@@ -164,31 +161,44 @@ def metrics(
     )
 
 
-def tune_lasso(train: DataFrame, penalties: Sequence[float], fold: str = "fold") -> DataFrame:
+def tune_lasso(train: DataFrame, penalties: Sequence[float], fold: str = "fold", at_once: int = 8) -> DataFrame:
     """Held-out metrics per penalty and fold.
 
-    ``train`` has features, label, support, weight and a fold number. The loop
-    runs over models; each fit and each fold's evaluation is a Spark job.
+    ``train`` has features, label, support, weight and a fold number. A fold's
+    rows are cached while its models are fitted, several at a time; the held-out
+    rows are read once for all of them, against one table of coefficients with at
+    most ``len(penalties)`` * (terms + 1) rows.
     """
     folds = sorted(r[0] for r in train.select(fold).distinct().collect())
     results = None
     for f in folds:
-        fit_on, held = train.filter(F.col(fold) != f), train.filter(F.col(fold) == f)
-        scored = None
-        for p in penalties:
-            model = lasso(p).fit(fit_on)
-            part = model.transform(held).select(
-                F.lit(p).alias("penalty"),
-                F.lit(f).alias("fold"),
-                "support",
-                F.when(F.col("prediction") == 1.0, POSITIVE).otherwise(NEGATIVE).alias("pred_class"),
-            )
-            scored = part if scored is None else scored.unionByName(part)
-        table = written(metrics(scored, by=["penalty", "fold"]), "fold-metrics")
+        fit_on, held = train.filter(F.col(fold) != f).persist(), train.filter(F.col(fold) == f)
+        try:
+            with ThreadPoolExecutor(at_once) as pool:
+                models = list(pool.map(lambda p: lasso(p).fit(fit_on), penalties))
+        finally:
+            fit_on.unpersist()
+        table = written(metrics(_scored(held, penalties, models), by=["penalty"]).withColumn("fold", F.lit(f)), "fold-metrics")
         results = table if results is None else results.unionByName(table)
     return results
 
 
+def _scored(held: DataFrame, penalties: Sequence[float], models: Sequence) -> DataFrame:
+    """penalty, support and pred_class of each held-out comment under each model."""
+    rows = [(float(p), int(i), float(m.coefficients[int(i)])) for p, m in zip(penalties, models) for i in m.coefficients.toArray().nonzero()[0]]
+    biases = [(float(p), float(m.intercept)) for p, m in zip(penalties, models)]
+    spark = held.sparkSession
+    beta = spark.createDataFrame(rows, "penalty double, bucket int, beta double")
+    bias = F.array(*[F.struct(F.lit(p).alias("penalty"), F.lit(b).alias("bias")) for p, b in biases])
+    cells = held.select("comment_id", F.posexplode(vector_to_array("features")).alias("bucket", "x")).filter("x <> 0")
+    sums = cells.join(F.broadcast(beta), "bucket").groupBy("comment_id", "penalty").agg(F.sum(F.col("x") * F.col("beta")).alias("z"))
+    every = held.select("comment_id", "support", F.explode(bias).alias("m")).select("comment_id", "support", "m.*")
+    z = F.coalesce("z", F.lit(0.0)) + F.col("bias")
+    return every.join(sums, ["comment_id", "penalty"], "left").select(
+        "penalty", "support", F.when(z > 0, POSITIVE).otherwise(NEGATIVE).alias("pred_class")
+    )
+
+
 METRICS = ("accuracy", "bal_accuracy", "sensitivity", "specificity")
 
 

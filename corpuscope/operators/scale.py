@@ -35,6 +35,20 @@ def hash_order(key: Column | str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+# Rows that meet in one bucket, about.
+BUCKET_ROWS = 50_000
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Rows, and the one row that each bucket starts with (``__first``).
+
+    The offsets take part in the buckets' own window, so rows are shuffled once.
+    """
+    return rows.withColumn("__first", F.lit(0)).unionByName(
+        offsets.withColumn("__first", F.lit(-1)), allowMissingColumns=True
+    )
+
+
 def hash_rank(
     df: DataFrame,
     key: str,
@@ -42,35 +56,33 @@ def hash_rank(
     strata: Sequence[str] = (),
     out: str = "hash_rank",
     size: str | None = None,
-    digits: int = 3,
 ) -> DataFrame:
     """Exact 1-based rank in hash order, within strata; ``size`` adds their sizes.
 
     The hash is uniform, so its first digits cut even one all-holding stratum
-    into equal buckets; only bucket counts (16^digits per stratum) are summed up
-    in order. Rows are shuffled by stratum and bucket, never by stratum alone.
+    into equal buckets; their number follows the number of rows, and only bucket
+    counts are summed up in order. Rows are shuffled once, by stratum and bucket.
     """
     strata = list(strata)
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, (F.count("*") + 1) / F.lit(BUCKET_ROWS)))).cast("int")
     keyed = df.withColumn("__h", hash_order(key, seed)).withColumn(
-        "__b", F.substring("__h", 1, digits)
+        "__b", F.substring("__h", F.lit(1), df.agg(digits).scalar())
     )
     groups = [*strata, "__b"]
     before = W.partitionBy(*strata).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy(*groups)
         .agg(F.count("*").alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        .withColumn("__w", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .withColumn("__size", F.sum("__n").over(W.partitionBy(*strata)))
         .drop("__n")
     )
-    inside = W.partitionBy(*groups).orderBy("__h", key)
-    ranked = keyed.withColumn("__in", F.row_number().over(inside))
-    joined = _null_safe_join(ranked, offsets, groups, "inner")
+    inside = W.partitionBy(*groups).orderBy("__first", "__h", key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = _with_offsets(keyed.withColumn("__w", F.lit(1).cast("long")), offsets)
+    ranked = ranked.withColumn(out, F.sum("__w").over(inside))
     if size is not None:
-        joined = joined.withColumn(size, F.col("__size"))
-    return joined.withColumn(out, F.col("__in") + F.col("__before")).drop(
-        "__h", "__b", "__in", "__before", "__size"
-    )
+        ranked = ranked.withColumn(size, F.first("__size").over(inside))
+    return ranked.filter(F.col("__first") == 0).drop("__h", "__b", "__w", "__size", "__first")
 
 
 def running_total(
@@ -80,7 +92,7 @@ def running_total(
     by: Sequence[str] = (),
     out: str = "cumulative",
     total: str | None = None,
-    buckets: int = 64,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Running sum of ``weight`` in order of ``value``; one row per (by, value).
 
@@ -88,10 +100,11 @@ def running_total(
 
     Cut points come from one approximate-quantile row; wherever they fall, the
     sums are exact, since each bucket starts from the total of those before it.
+    Rows are shuffled once, by group and bucket.
     """
     by = list(by)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(1000)))
+    cuts = df.agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(10 * buckets))))
     v = F.col(value).cast("double")
     bucketed = df.withColumn("__cuts", cuts.scalar()).withColumn(
         "__b", F.size(F.filter("__cuts", lambda c: c < v))
@@ -101,21 +114,19 @@ def running_total(
     before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*groups)
-        .agg(F.sum(weight).alias("__w"))
-        .withColumn("__before", F.coalesce(F.sum("__w").over(before), F.lit(0)))
-        .withColumn("__total", F.sum("__w").over(W.partitionBy(*by)))
-        .drop("__w")
+        .agg(F.sum(weight).alias("__s"))
+        .withColumn("__w", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+        .withColumn("__total", F.sum("__s").over(W.partitionBy(*by)))
+        .drop("__s")
     )
     inside = (
-        W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy(*groups).orderBy("__first", value).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    summed = bucketed.withColumn("__in", F.sum(weight).over(inside))
-    joined = _null_safe_join(summed, offsets, groups, "inner")
+    summed = _with_offsets(bucketed.withColumn("__w", F.col(weight)), offsets)
+    summed = summed.withColumn(out, F.sum("__w").over(inside))
     if total is not None:
-        joined = joined.withColumn(total, F.col("__total"))
-    return joined.withColumn(out, F.col("__in") + F.col("__before")).drop(
-        "__b", "__in", "__before", "__total"
-    )
+        summed = summed.withColumn(total, F.first("__total").over(inside))
+    return summed.filter(F.col("__first") == 0).drop("__b", "__w", "__total", "__first")
 
 
 def join_by_frequency(

@@ -147,8 +147,9 @@ def histogram(
 ) -> DataFrame:
     """Counts over equal-width bins that span the range of all rows."""
     valued = df.withColumn("__v", value).filter(F.col("__v").isNotNull())
-    low, high = valued.agg(F.min("__v")), valued.agg(F.max("__v"))
-    binned = valued.withColumn("__lo", low.scalar()).withColumn("__hi", high.scalar())
+    ends = valued.agg(F.struct(F.min("__v").alias("lo"), F.max("__v").alias("hi")))
+    binned = valued.withColumn("__ends", ends.scalar())
+    binned = binned.withColumn("__lo", F.col("__ends.lo")).withColumn("__hi", F.col("__ends.hi"))
     position = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins
     binned = binned.withColumn(
         "bin",
@@ -214,27 +215,27 @@ def unanimous(value: str) -> Column:
 # --- ranks -------------------------------------------------------------------
 
 
-# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
-LIMIT_PER_TASK = 1000
-
-
 def top_n(df: DataFrame, value: str, n: int, by: Sequence[str] = (), lowest: bool = False) -> DataFrame:
     """The n highest (or lowest) values by minimum rank, ties kept.
 
-    ``rank() <= n`` lets Spark keep n rows and ties per task before it shuffles,
-    up to ``LIMIT_PER_TASK`` rows. A longer ungrouped list is cut at its n-th
-    value instead, which a distributed sort finds.
+    The n-th value of each group is found among its distinct values, of which only
+    the first n with their counts are ranked; rows are then compared with it, so
+    ties stay in the tasks they are in.
     """
-    order = F.col(value).asc() if lowest else F.col(value).desc()
     valued = df.filter(F.col(value).isNotNull())
-    if not by and n > LIMIT_PER_TASK:
-        first = valued.select(value).orderBy(order).limit(n)
-        cut = first.agg(F.max(value) if lowest else F.min(value)).scalar()
+    order = F.col(value).asc() if lowest else F.col(value).desc()
+    inside = W.partitionBy(*by).orderBy(order)
+    counted = valued.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    first = counted.withColumn("__k", F.row_number().over(inside)).filter(F.col("__k") <= n)
+    before = F.coalesce(F.sum("__n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = first.withColumn("__before", before).filter(F.col("__before") < n)
+    last = F.max(value) if lowest else F.min(value)
+    if not by:
+        cut = kept.agg(last).scalar()
         return valued.filter(F.col(value) <= cut if lowest else F.col(value) >= cut)
-    ranked = valued.withColumn(
-        "__rank", F.rank().over(W.partitionBy(*by).orderBy(order))
-    )
-    return ranked.filter(F.col("__rank") <= n).drop("__rank")
+    cuts = kept.groupBy(*by).agg(last.alias("__cut"))
+    hit = F.col(value) <= F.col("__cut") if lowest else F.col(value) >= F.col("__cut")
+    return _null_safe_join(valued, cuts, by, "inner").filter(hit).drop("__cut")
 
 
 def top_and_bottom(df: DataFrame, value: str, n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -259,10 +260,7 @@ def value_order(df: DataFrame, by: Sequence[str], value: str, out: str = "ord")
 
 
 def sample_fixed(df: DataFrame, key: str, k: int, seed: int | str) -> DataFrame:
-    """k rows in hash order: a per-task top-k, or an exact rank for large k."""
-    if k <= 10_000:
-        h = hash_order(key, seed)
-        return df.orderBy(h, F.col(key)).limit(k)
+    """The first k rows in hash order."""
     return hash_rank(df, key, seed, out="__r").filter(F.col("__r") <= k).drop("__r")
 
 

@@ -80,28 +80,28 @@ def extreme_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- samples along a score ---------------------------------------------------------
 
-# A score that every engine computes alike, the length, stands for the loadings.
-_SCORE = "(SELECT comment_id, len::DOUBLE AS value FROM corpus WHERE docOrder = 0)"
+# A score that every engine computes alike, the length of all a comment's documents,
+# stands for the loadings.
+_SCORE = "(SELECT comment_id, sum(len)::DOUBLE AS value FROM corpus GROUP BY 1)"
 _FORMS = f"(SELECT comment_id FROM corpus WHERE {' OR '.join(_HIT.values())})"
 _SAMPLE = f"""
 , elig AS (SELECT * FROM {_SCORE} WHERE comment_id NOT IN {_FORMS}),
 ranked AS (SELECT *, rank() OVER (ORDER BY value DESC) AS t, rank() OVER (ORDER BY value) AS b FROM elig),
-ext AS (SELECT comment_id, value, CASE WHEN t <= 20 THEN 'top' ELSE 'bottom' END AS side FROM ranked WHERE t <= 20 OR b <= 20),
+ext AS (SELECT comment_id, value, CASE WHEN t <= 200 THEN 'top' ELSE 'bottom' END AS side FROM ranked WHERE t <= 200 OR b <= 200),
 rnd AS (SELECT comment_id, value, 'random' AS side FROM elig WHERE comment_id NOT IN (SELECT comment_id FROM ext)
-  ORDER BY md5('5:' || comment_id), comment_id LIMIT 40),
+  ORDER BY md5('5:' || comment_id), comment_id LIMIT 400),
 picked AS (SELECT * FROM ext UNION ALL SELECT * FROM rnd)
 """
 
 
 def _scores(corpus: DataFrame) -> DataFrame:
-    first = corpus.filter(F.col("docOrder") == 0)
-    return first.select("comment_id", F.col("len").cast("double").alias("value"))
+    return corpus.groupBy("comment_id").agg(F.sum("len").cast("double").alias("value"))
 
 
 @query(sql(_SAMPLE + "SELECT comment_id, value, side FROM picked", "corpus"))
 def coding_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = I.corpus(spark, sf_dir)
-    return sample_for_coding(_scores(corpus), form_letters(corpus, PHRASES), 20, 5)
+    return sample_for_coding(_scores(corpus), form_letters(corpus, PHRASES), 200, 5)
 
 
 @query(
@@ -115,7 +115,7 @@ FROM {_SCORE} s LEFT JOIN picked p ON p.comment_id = s.comment_id""",
 def loading_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = I.corpus(spark, sf_dir)
     forms, scores = form_letters(corpus, PHRASES), _scores(corpus)
-    return loading_distribution(scores, forms, sample_for_coding(scores, forms, 20, 5))
+    return loading_distribution(scores, forms, sample_for_coding(scores, forms, 200, 5))
 
 
 # --- word vectors --------------------------------------------------------------------
@@ -125,7 +125,7 @@ def loading_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of every token in a kept pair, with their length."""
     content = _content(spark, sf_dir)
-    found = E.word_vectors(E.pmi(E.cooccurrence(content), E.unigram_p(content)), 16)
+    found = E.word_vectors(E.pmi(content), 256)
     return found.select("token", F.size("vec").alias("dims"), E.dot(F.col("vec"), F.col("vec")).alias("length2"))
 
 

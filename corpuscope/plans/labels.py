@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agreement as G
 from ..operators import classify as M
 from ..operators import tables as V
+from ..operators.agreement import load_manual_coding
 from ..operators.corpus import form_letters
-from ..session import written
+from ..session import shared_folder, written
+from ..sources.tables import load_or_build
 from . import inputs as I
 from .catalog import query
 from .sql import sql
@@ -227,34 +231,83 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return written(M.feature_vectors(folded, used), "train"), features
 
 
-def _fitted(spark: SparkSession, sf_dir: str):
+def _once(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where this session keeps what several queries need: built once, then read."""
+    mark = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{mark}"
+
+
+def _tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        return M.tune_lasso(_prepared(spark, sf_dir)[0], M.penalty_grid())
+
+    return load_or_build(spark, _once(spark, sf_dir, "tuning"), build)
+
+
+def _coefficients(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Coefficients of the lasso at the best penalty, and the corpus's features."""
     train, features = _prepared(spark, sf_dir)
-    return M.lasso(0.01).fit(train), train, features
+
+    def build() -> DataFrame:
+        return M.coefficient_table(spark, M.fit_best(train, _tuning(spark, sf_dir)))
+
+    return load_or_build(spark, _once(spark, sf_dir, "lasso"), build), features
 
 
 @query()
 def lasso_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean held-out metrics over five folds for a grid of penalties."""
-    train, _ = _prepared(spark, sf_dir)
-    return M.collect_metrics(M.tune_lasso(train, M.penalty_grid(4, -4.0, -1.0)))
+    """Mean held-out metrics over five folds for each of 30 penalties."""
+    return M.collect_metrics(_tuning(spark, sf_dir))
+
+
+@query()
+def best_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best penalties by each metric."""
+    tuning = _tuning(spark, sf_dir)
+    return V.tagged_union({m: M.show_best(tuning, m) for m in M.METRICS}, "metric")
 
 
 @query()
 def lasso_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, _ = _fitted(spark, sf_dir)
-    return M.coefficient_table(spark, model)
+    return _coefficients(spark, sf_dir)[0]
 
 
 @query()
 def lasso_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and probability for every comment of the corpus."""
-    model, _, features = _fitted(spark, sf_dir)
+    coefficients, features = _coefficients(spark, sf_dir)
     everyone = I.corpus(spark, sf_dir).select("comment_id").distinct()
-    return M.augment(everyone, features, M.coefficient_table(spark, model))
+    return M.augment(everyone, features, coefficients)
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _training(spark, sf_dir).select("comment_id", "support")
+    return V.stratified_split(labelled, "comment_id", "support", 0.75, 1).filter("split = 'test'").drop("split")
+
+
+@query()
+def test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tuned lasso does on labelled comments that it has not seen."""
+    coefficients, features = _coefficients(spark, sf_dir)
+    return M.metrics(M.augment(_held_out(spark, sf_dir), features, coefficients))
+
+
+@query()
+def imputed_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's labels for the corpus, all and confident ones, beside the hand-made ones."""
+    guess = lasso_predictions(spark, sf_dir)
+    frames = {
+        "manual": load_manual_coding(I.coding(spark, sf_dir)),
+        "filtered": M.load_imputed_filtered(guess),
+        "imputed": M.load_imputed_full(guess),
+    }
+    return V.tagged_union({k: v.select("comment_id", "support") for k, v in frames.items()})
 
 
 @query()
 def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _prepared(spark, sf_dir)
-    model = M.fit_forest(train, trees=20, max_depth=5)
-    return M.augment_with_model(model, train).select("comment_id", "support", "pred_class", "pred_oppose")
+    """The forest's classes for labelled comments that it has not seen."""
+    train, features = _prepared(spark, sf_dir)
+    model = M.fit_forest(train)
+    vectors = M.feature_vectors(_held_out(spark, sf_dir), features)
+    return M.augment_with_model(model, vectors).select("comment_id", "support", "pred_class", "pred_oppose")

@@ -395,5 +395,5 @@ LEFT JOIN unigrams a ON a.token = item1 LEFT JOIN unigrams b ON b.token = item2"
 )
 def pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _content(spark, sf_dir)
-    found = E.pmi(E.cooccurrence(content), E.unigram_p(content))
+    found = E.pmi(content)
     return r6(found.select("item1", "item2", "pmi"))

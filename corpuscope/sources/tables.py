@@ -38,11 +38,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def write_annotations(df: DataFrame, path: str, buckets: int = 64, mode: str = "append") -> None:
     """Append annotations under hash buckets of the document.
 
-    Bucket folders hold files of a sensible size however many documents there
-    are, where one file per document would swamp the file system.
+    Bucket folders hold a file per run however many documents and tasks there
+    are. Appending skips documents that are stored already, so that a repeated
+    run adds nothing.
     """
     bucketed = df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    bucketed.write.mode(mode).partitionBy("doc_bucket").parquet(path)
+    if mode == "append":
+        try:
+            stored = df.sparkSession.read.parquet(path).select("doc_id").distinct()
+            bucketed = bucketed.join(stored, "doc_id", "left_anti").select(*df.columns, "doc_bucket")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    bucketed.repartition(buckets, "doc_bucket").write.mode(mode).partitionBy("doc_bucket").parquet(path)
 
 
 def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> None:

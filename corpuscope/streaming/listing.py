@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def deduplicated_listing(
-    blocks: DataFrame, ts: str, keys: Sequence[str], delay: str = "1 day"
-) -> DataFrame:
-    """Drop rows that an overlapping block repeats.
-
-    A block starts at the last date of the one before, so repeats lie close
-    together in ``ts``; state older than ``delay`` is let go.
-    """
-    timed = blocks.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+def new_rows(batch: DataFrame, known: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Each key of the batch once, without the keys that are known already."""
+    once = batch.dropDuplicates(list(keys))
+    if known is None:
+        return once
+    seen = known.select(*[F.col(k).alias(f"__seen_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__seen_{k}")) for k in keys])
+    return once.join(seen, same, "left_anti")
 
 
 def ingest_listing_stream(
@@ -30,18 +30,29 @@ def ingest_listing_stream(
     checkpoint: str,
     ts: str,
     keys: Sequence[str],
-    delay: str = "1 day",
 ) -> StreamingQuery:
     """Take in all landed blocks not seen before, then stop.
 
-    Progress is in ``checkpoint``; a later call goes on from there.
+    Progress is in ``checkpoint``; a later call goes on from there. Rows are compared
+    by key with everything at ``target``, however old: another document's listing may
+    land late. Each batch has a folder ``batch=<number>`` of its own, which a repeated
+    batch overwrites, so no row is lost or doubled after a failure.
     """
-    blocks = spark.readStream.schema(schema).parquet(source)
+
+    def take_in(batch: DataFrame, number: int) -> None:
+        try:
+            known = batch.sparkSession.read.parquet(target).filter(F.col("batch") != number)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            known = None
+        rows = batch.withColumn(ts, F.col(ts).cast("timestamp"))
+        new_rows(rows, known, keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
     return (
-        deduplicated_listing(blocks, ts, keys, delay)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", target)
+        spark.readStream.schema(schema)
+        .parquet(source)
+        .writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

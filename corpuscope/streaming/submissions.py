@@ -23,6 +23,13 @@ def weekly_counts(meta: DataFrame, ts: str, delay: str | None = None) -> DataFra
     )
 
 
+def weekly_table(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of the table."""
+    versions = spark.read.parquet(target)
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def submissions_stream(
     spark: SparkSession,
     source: str,
@@ -35,8 +42,9 @@ def submissions_stream(
 ) -> StreamingQuery:
     """Bring the weekly table at ``target`` up to date with all landed files.
 
-    By default the table holds every week so far (one row per week, rewritten
-    by each batch); ``closed_only`` appends weeks once the watermark has passed.
+    By default each batch writes every week so far beside the older versions, and
+    ``weekly_table`` reads the last complete one, so a failure leaves readers what
+    they had; ``closed_only`` appends weeks once the watermark has passed.
     """
     files = spark.readStream.schema(schema).parquet(source)
     if closed_only:
@@ -50,13 +58,14 @@ def submissions_stream(
             .start()
         )
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(target)
+    def add_version(batch: DataFrame, number: int) -> None:
+        # One row per week: a single small file, which appears whole or not at all.
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return (
         weekly_counts(files, ts)
         .writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(add_version)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

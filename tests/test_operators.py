@@ -187,7 +187,7 @@ def test_heads_agree_with_window(spark):
 
 
 def test_empty_text_is_refused(spark):
-    with pytest.raises(Exception, match="Length-0 text"):
+    with pytest.raises(Exception, match="empty text of document"):
         A.annotate_pending(corpus_of(spark, "fine", "")).collect()
 
 

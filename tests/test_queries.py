@@ -11,7 +11,10 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ENTRIES = all_entries()
 
 # Fitted models have their own tests.
-MODELS = {"lasso_tuning", "lasso_coefficients", "lasso_predictions", "forest_predictions"}
+MODELS = {
+    "lasso_tuning", "best_penalties", "lasso_coefficients", "lasso_predictions", "test_metrics", "imputed_codings",
+    "forest_predictions",
+}
 
 
 @pytest.fixture(scope="module")
