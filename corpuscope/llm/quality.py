@@ -3,7 +3,8 @@
 The text view sees shares of letters, symbols, capitals and repeated words; the
 metadata view sees source, language and stated length. Each is a logistic
 regression. In every round a view labels the unlabelled documents that it is sure
-of, and the other view learns from them. Both are then calibrated on labelled rows
+of, as many of each class as the labelled rows have, and the other view learns from
+them. Both are then calibrated on labelled rows
 that were kept apart, and a logistic regression over the two calibrated views
 gives the score.
 
@@ -121,6 +122,16 @@ class Model(NamedTuple):
     base: float
 
 
+def _sure_labels(p: np.ndarray, share: float, sure: float) -> np.ndarray:
+    """1, 0 or nan: the surest of both classes, in the proportion of the labelled rows."""
+    out = np.full(len(p), np.nan)
+    classes = [(1.0, p, share), (0.0, 1 - p, 1 - share)]
+    most = min((q >= sure).sum() / s for _, q, s in classes)
+    for c, q, s in classes:
+        out[np.argsort(-q, kind="stable")[: int(most * s)]] = c
+    return out
+
+
 def co_train(x, m, y, pool_x, pool_m, rounds: int = ROUNDS, sure: float = SURE) -> tuple[Linear, Linear]:
     """The two views after exchanging the labels they are sure of."""
     views = [(x, pool_x), (m, pool_m)]
@@ -133,7 +144,7 @@ def co_train(x, m, y, pool_x, pool_m, rounds: int = ROUNDS, sure: float = SURE)
         if turn < rounds:
             for v, (_, pool) in enumerate(views):
                 p = _sigmoid(fitted[v].logit(pool)) if len(pool) else np.zeros(0)
-                given[1 - v] = np.where(p >= sure, 1.0, np.where(p <= 1 - sure, 0.0, np.nan))
+                given[1 - v] = _sure_labels(p, y.mean(), sure)
     return fitted[0], fitted[1]
 
 
