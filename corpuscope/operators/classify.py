@@ -169,10 +169,13 @@ def tune_lasso(train: DataFrame, penalties: Sequence[float], fold: str = "fold",
     rows are read once for all of them, against one table of coefficients with at
     most ``len(penalties)`` * (terms + 1) rows.
     """
-    folds = sorted(r[0] for r in train.select(fold).distinct().collect())
+    sizes = train.groupBy(fold).count().collect()
+    folds = sorted(r[0] for r in sizes)
+    # A part for some thousand rows: each of a fit's many steps is a job over all parts.
+    parts = max(1, sum(r["count"] for r in sizes) // 4000)
     results = None
     for f in folds:
-        fit_on, held = train.filter(F.col(fold) != f).persist(), train.filter(F.col(fold) == f)
+        fit_on, held = train.filter(F.col(fold) != f).coalesce(parts).persist(), train.filter(F.col(fold) == f)
         try:
             with ThreadPoolExecutor(at_once) as pool:
                 models = list(pool.map(lambda p: lasso(p).fit(fit_on), penalties))

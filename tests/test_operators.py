@@ -1,5 +1,6 @@
 """Hand-computed cases and brute force on small frames."""
 
+import collections
 import itertools
 import math
 import random
@@ -364,3 +365,36 @@ def test_zero_variance_bucket_goes(spark):
     n = spark.createDataFrame([(2,)], "n long")
     assert {r.bucket for r in M.drop_zero_variance(f, n).collect()} == {2, 3, 4}
     assert M.penalty_grid()[0] == pytest.approx(1e-10) and len(M.penalty_grid()) == 30
+
+
+def test_ranks_move_rows_once(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("s"))
+    plan = hash_rank(df, "k", 1, ["s"], size="n")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+    sums = df.groupBy("s", "k").agg(F.count("*").alias("n"))
+    plan = running_total(sums, "k", "n", ["s"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_equal_values_stay_in_their_tasks(spark):
+    df = spark.range(0, 200_000, 1, 16).select(F.lit(7).alias("v"), (F.col("id") % 2).alias("g"))
+    for by in ((), ("g",)):
+        out = V.top_n(df, "v", 5, by)
+        tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in tasks) == 200_000 and len(tasks) == 16
+
+
+def test_variants_join_blocks_by_number(spark):
+    rows = [(f"w{i}_{'AB'[i % 2]}", [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [("null_A", None)]
+    vectors = spark.createDataFrame(rows, "token string, vec array<double>")
+    for pos in (True, False):
+        found = E.get_variants(vectors, "^(w1|w2)_", 3, filter_pos=pos, block=8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        got = collections.defaultdict(set)
+        for r in found.collect():
+            got[r.match].add((r.token, r.similarity))
+        for token, vec in rows[1:3]:
+            like = {t: sum(a * b for a, b in zip(v, vec)) for t, v in rows[:60] if not pos or t[-1] == token[-1]}
+            third = sorted(like.values(), reverse=True)[2]
+            assert got[token] == {(t, s) for t, s in like.items() if s >= third}
