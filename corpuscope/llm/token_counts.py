@@ -6,8 +6,8 @@ them, and runs of line ends. Each distinct pre-token of the corpus is counted on
 by the library; a document's count is the sum over its pre-tokens.
 
 Pre-tokens that make up more than 1/HOT of all occurrences, fewer than HOT by
-arithmetic, are looked up from a broadcast; only the rest is shuffled to its count,
-with one row per document and pre-token.
+arithmetic and far fewer in real texts, are looked up from a broadcast; only the rest
+is shuffled to its count, with one row per document and pre-token.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; a text of any length is
 counted whole; every row gives a row, rows that repeat a doc_id too.
@@ -20,13 +20,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import parts, small_batches, stored, text_of
+from .common import small_batches, stored, text_of
 
-HOT = 150_000
+HOT = 1_500_000
 UNIT = 64
 #: What ends a pre-token: a space or line end behind anything else, or the reverse of a line end.
 BORDER = r"(?<=[^ ])(?= )|(?<=[^\n])(?=\n)|(?<=\n)(?=[^\n])"
+#: The same pre-tokens as matches.
+PIECES = r" *[^ \n]+| +|\n+"
 
 
 def check_vocabulary(model: str) -> None:
@@ -74,12 +77,7 @@ def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     """key, n_bytes and n_tokens of every row."""
     check_vocabulary(model)
     body = text_of(text)
-    exploded = docs.select(F.col(key).alias("key"), body.alias("t")).select(
-        "key",
-        F.xxhash64("t").alias("h"),
-        F.octet_length("t").cast("long").alias("n_bytes"),
-        F.posexplode_outer(pre_tokens(F.col("t"))).alias("at", "piece"),
-    )
+    small_batches(docs.sparkSession)
     counted = (
         docs.select(F.explode(pre_tokens(body)).alias("piece")).groupBy("piece").agg(F.count("*").alias("freq"))
     )
@@ -87,44 +85,55 @@ def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     total = vocabulary.agg(F.sum("freq")).first()[0] or 0
     # A piece of more bytes has to be more frequent, so all of them hold at most hot * UNIT bytes.
     is_hot = F.col("freq") * hot > F.lit(total) * F.ceil(F.octet_length("piece") / F.lit(UNIT))
-    frequent = vocabulary.filter(is_hot).select("piece", "n")
+    frequent = docs.sparkSession.sparkContext.broadcast(
+        {r.piece: r.n for r in vocabulary.filter(is_hot).select("piece", "n").collect()}
+    )
     rare = vocabulary.filter(~is_hot).select("piece", "n")
 
-    by_row = ["key", "h"]
-    # Rows that repeat a key and its text meet here; ``copies`` gives them back.
-    first = (
-        exploded.join(F.broadcast(frequent), "piece", "left")
-        .groupBy(*by_row)
-        .agg(
-            F.max("n_bytes").alias("n_bytes"),
-            F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).alias("copies"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        )
-    )
-    # One shuffle by piece serves the frequencies and the lookup.
-    rest = (
-        exploded.select(*by_row, "piece")
-        .filter(F.col("piece").isNotNull())
-        .join(F.broadcast(frequent.select("piece")), "piece", "left_anti")
-        .repartition(parts(docs.sparkSession), "piece")
-        .groupBy("piece", *by_row)
-        .agg(F.count("*").alias("tf"))
-        .join(rare, "piece")
-        .groupBy(*by_row)
-        .agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document with the tokens of its frequent pre-tokens, one for each rare pre-token."""
+        import re
+        from collections import Counter
+
+        find, known = re.compile(PIECES).findall, frequent.value.get
+        for b in batches:
+            rows, keys, sizes, pieces, ms = [], [], [], [], []
+            for row, k, t in zip(b.column("row").to_pylist(), b.column("key").to_pylist(), b.column("t").to_pylist()):
+                tokens = 0
+                for piece, tf in Counter(find(" " + t) if t else ()).items():
+                    n = known(piece)
+                    if n is None:
+                        rows.append(row)
+                        keys.append(None)
+                        sizes.append(None)
+                        pieces.append(piece)
+                        ms.append(tf)
+                    else:
+                        tokens += tf * n
+                rows.append(row)
+                keys.append(k)
+                sizes.append(len(t.encode()))
+                pieces.append(f"\n{row}")  # no pre-token, and spread over the tasks
+                ms.append(tokens)
+                if len(rows) > 100_000:
+                    yield batch_of(rows, keys, sizes, pieces, ms)
+                    rows, keys, sizes, pieces, ms = [], [], [], [], []
+            yield batch_of(rows, keys, sizes, pieces, ms)
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["row", "key", "n_bytes", "piece", "m"])
+
+    # The number of a row goes only with what this one pass makes of it.
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), body.alias("t"))
+    types = (pa.int64(), to_arrow_type(own.schema["key"].dataType), pa.int64(), pa.string(), pa.int64())
+    rows = own.mapInArrow(
+        frequencies, f"row long, key {own.schema['key'].dataType.simpleString()}, n_bytes long, piece string, m long"
     )
-    none = F.lit(None).cast("long")
-    sums = (
-        first.unionByName(rest.select(*by_row, none.alias("n_bytes"), none.alias("copies"), "n"))
-        .groupBy(*by_row)
-        .agg(F.max("n_bytes").alias("n_bytes"), F.max("copies").alias("copies"), F.sum("n").alias("n"))
+    sums = rows.join(rare, "piece", "left").groupBy("row").agg(
+        F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"),
+        F.sum(F.col("m") * F.coalesce("n", F.lit(1))).alias("n_tokens"),
     )
-    return sums.select(
-        F.col("key").alias(key),
-        "n_bytes",
-        F.expr("n div copies").alias("n_tokens"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    return sums.select(key, "n_bytes", "n_tokens")
 
 
 def token_limits(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
