@@ -253,12 +253,13 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     """Add the bytes that the ids stand for; a null list gives no bytes; a column ``out`` is replaced."""
     df = df.drop(out)
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.token)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        token = shared.value.__getitem__
         for batch in batches:
-            raw = pa.array([v.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in batch.column(ids)], pa.binary())
+            lists = [x.values.to_numpy().tolist() if x.is_valid else () for x in batch.column(ids)]
+            raw = pa.array([b"".join(map(token, x)) for x in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, out])
 
     return df.mapInArrow(run, _added(df, out, "binary"))
