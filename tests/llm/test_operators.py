@@ -343,7 +343,7 @@ def test_views_teach_each_other():
     accuracy = lambda v: ((v.logit(m[2000:]) > 0) == (y[2000:] == 1)).mean()
     assert accuracy(taught) >= accuracy(alone) > 0.9
     given = quality._sure_labels(np.linspace(0, 1, 1001), 0.75, 0.9)
-    assert (given == 1).sum() == 3 * (given == 0).sum() > 0 and (given[-50:] == 1).all() and (given[:30] == 0).all()
+    assert abs((given == 1).sum() - 3 * (given == 0).sum()) <= 3 and (given == 0).sum() > 20 and (given[-50:] == 1).all() and (given[:30] == 0).all()
 
 
 def test_score_equals_numpy(spark, docs):
