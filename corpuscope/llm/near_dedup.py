@@ -10,10 +10,11 @@ of a shingle taken from fixed tables. Documents that agree in all samples of a b
 are candidates, and the weighted Jaccard similarity of their whole shingle sets
 decides. Equal word sequences are one text from the start.
 
-Inside a band's group not all pairs are compared: first each text with the group's
-leader, twice with new leaders; texts that are by then in one class need no more
-comparison, and every pair of a group that isn't joined yet is compared last. So no
-link that changes a class is lost among the candidates. Classes are the connected
+Inside a band's group all pairs are never emitted: first each text meets two leaders
+of the group; texts that are by then in one class need no more comparison, and the
+rest of a group is compared inside a task, tile by tile where it is large, with only
+the links that join classes as output. So no link that changes a class is lost among
+the candidates. Classes are the connected
 components of the links, found by contraction of the link table.
 
 Cases: null texts count as empty; texts of fewer than five words are one shingle;
@@ -39,6 +40,8 @@ BANDS, ROWS = 10, 3
 COMMON = 200
 #: Words of one block, and bits of a shingle's hash.
 BLOCK, BITS = 1 << 20, 44
+#: Bytes of shingle sets of one tile.
+TILE = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 LOW = np.uint64((1 << BITS) - 1)
 
@@ -267,32 +270,99 @@ def components(links: DataFrame) -> DataFrame:
     In every round each node takes its smallest neighbour (or itself) and the links
     are rewritten with these; links within one node vanish, until none is left.
     """
-    edges = stored(links.select("a", "b").filter("a <> b").distinct(), "links")
-    nodes = None
+    edges, moves = stored(links.select("a", "b").filter("a <> b").distinct(), "links"), []
     while edges.head(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")), "nearest")
-        if nodes is None:
-            nodes = best.select("node", F.col("to").alias("comp"))
-        else:
-            moved = best.select(F.col("node").alias("comp"), "to")
-            nodes = stored(nodes.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
-        left, right = best.select(F.col("node").alias("a"), F.col("to").alias("x")), best.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        best = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to"))
+        moves.append(stored(best, "nearest"))
+        left, right = (moves[-1].select(F.col("node").alias(k), F.col("to").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         edges = stored(
             edges.join(left, "a").join(right, "b").filter("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
             "links",
         )
-    if nodes is None:
+    if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return nodes
+    nodes = moves[0].select("node", F.col("to").alias("comp"))
+    for step in moves[1:]:
+        nodes = nodes.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return stored(nodes, "components")
 
 
-def _joined(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """members (bucket, rep) with their class, without buckets that are one class."""
-    now = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_buckets = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    return now.join(open_buckets.select("bucket"), "bucket")
+def _leaders(members: DataFrame) -> DataFrame:
+    """(bucket, leader): the first text of each bucket in two hash orders."""
+    first = [F.min_by("rep", F.xxhash64("rep", "bucket", F.lit(k))) for k in range(2)]
+    return members.groupBy("bucket").agg(F.array_distinct(F.array(*first)).alias("l")).select("bucket", F.explode("l").alias("leader"))
+
+
+def _rest(members: DataFrame, leaders: DataFrame, comps: DataFrame) -> DataFrame:
+    """What is left to compare: (bucket, rep, comp) without leaders, of buckets with several classes."""
+    left = members.join(leaders.withColumnRenamed("leader", "rep"), ["bucket", "rep"], "left_anti")
+    now = left.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return now.join(several.select("bucket"), "bucket")
+
+
+def links_between(reps, comps, hs, ws, least: float, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int, float]]:
+    """Links that join the classes ``comps`` of these texts.
+
+    Each text of ``first`` is compared with all of ``second`` outside its class, as it
+    is by then; so no class stays apart from another that it has a link with.
+    """
+    sizes = np.array([len(h) for h in hs])
+    _, code = np.unique(np.concatenate(hs), return_inverse=True)
+    weight = np.concatenate(ws)
+    ends = np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(hs)), sizes)
+    total = np.bincount(doc, weight, len(hs))
+    comps, lookup, found = comps.copy(), np.zeros(code.max(initial=-1) + 1), []
+    on_right = np.zeros(len(hs), bool)
+    on_right[second] = True
+    for i in first:
+        own = slice(ends[i] - sizes[i], ends[i])
+        # Of sets so unlike in weight none is similar enough.
+        other = on_right & (comps != comps[i]) & (np.minimum(total, total[i]) >= least * np.maximum(total, total[i]))
+        if not other.any():
+            continue
+        lookup[code[own]] = weight[own]
+        at = other[doc]
+        common = np.bincount(doc[at], np.minimum(lookup[code[at]], weight[at]), len(hs))
+        lookup[code[own]] = 0
+        like = common / np.maximum(total + total[i] - common, 1e-12)
+        for j in np.flatnonzero(other & (like >= least)):
+            if comps[j] != comps[i]:
+                found.append((int(reps[i]), int(reps[j]), float(like[j])))
+                comps[comps == comps[j]] = comps[i]
+    return found
+
+
+def _remaining_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b, similarity) that join classes inside the buckets of ``rest``.
+
+    A bucket whose sets have more than TILE bytes is dealt into tiles by hash, and
+    every two tiles meet in a task of their own.
+    """
+    rows = rest.join(sets, "rep")
+    tiles = rows.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("h") + F.octet_length("w")) / F.lit(TILE)).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("rep"), F.greatest("tiles", F.lit(1))).cast("int")
+    dealt = rows.join(tiles, "bucket").withColumn("tile", tile)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("tiles"), F.lit(1)) - 1)))
+    dealt = dealt.select(
+        "bucket", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "rep", "comp", "h", "w"
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        tile = group.column("tile").to_numpy()
+        hs = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("h")]
+        ws = [np.frombuffer(w.as_py(), np.float32) for w in group.column("w")]
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        found = links_between(
+            group.column("rep").to_numpy(), group.column("comp").to_numpy(), hs, ws, least, np.flatnonzero(tile == x), np.flatnonzero(tile == y)
+        )
+        columns = list(zip(*found)) if found else [(), (), ()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("a", "b", "similarity"), columns, (pa.int64(), pa.int64(), pa.float64()))})
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long, similarity double")
 
 
 def near_classes(
@@ -322,25 +392,14 @@ def near_classes(
         _sets(found.select("rep", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w")), weights), "shingle-sets"
     )
 
-    links = None
-    comps = spark.createDataFrame([], "node long, comp long")
-    for turn in range(3):
-        now = _joined(members, comps)
-        if turn < 2:
-            # Another leader in every bucket and turn.
-            by = F.xxhash64("rep", "bucket", F.lit(turn))
-            leader = now.groupBy("bucket").agg(F.min_by("rep", by).alias("a"), F.min_by("comp", by).alias("ca"))
-            pairs = now.join(leader, "bucket").filter("comp <> ca").select("a", F.col("rep").alias("b"))
-        else:
-            # What is still apart: those outside a bucket's largest class, with all others.
-            counts = now.groupBy("bucket", "comp").count()
-            largest = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-            apart = now.join(largest, "bucket").filter("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-            pairs = apart.join(now, "bucket").filter("comp <> ca").select("a", F.col("rep").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = stored(_verified(pairs, sets, similar), "verified")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
+    leaders = stored(_leaders(members), "leaders")
+    pairs = members.join(leaders, "bucket").filter("rep <> leader")
+    pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    links = stored(_verified(pairs, sets, similar), "verified")
+    comps = components(links)
+    more = stored(_remaining_links(_rest(members, leaders, comps), sets, similar), "remaining")
+    if more.head(1):
+        comps = components(links.unionByName(more))
 
     rep_class = reps.select("key", "rep", "id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     rep_class = rep_class.select("key", F.coalesce("comp", "rep").alias("comp"))
