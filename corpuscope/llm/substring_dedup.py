@@ -30,7 +30,7 @@ from .common import small_batches, stored, text_of, whole, words
 
 WIDTH = 13
 #: Words of one block.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -52,16 +52,19 @@ def _rows(doc: np.ndarray, place: np.ndarray, ids, rows) -> Iterator[tuple[int,
 
 def _block(ids, rows, sizes, flat, width: int, bits: int) -> list[tuple[int, int, int, bytes]]:
     """(bucket, id, row, data): negative buckets are repeated places, others hashes to compare."""
-    at = packed.inside(sizes, width)
+    at = packed.inside(sizes, width).astype(np.uint32)
     h = packed.rolling(flat, width)[at]
-    order = np.argsort(h, kind="stable")
+    del flat
+    order = np.argsort(h, kind="stable").astype(np.uint32)
     h, at = h[order], at[order]
+    del order
     ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, at, "right")
+    doc = np.searchsorted(ends, at, "right").astype(np.int32)
     own = ids[doc]
     begin = packed.runs(h)
     smallest = np.repeat(np.minimum.reduceat(own, begin), np.diff([*begin, len(h)])) if len(h) else own
     here = own > smallest
+    del own, smallest
     starts = ends - sizes
     out = [(-1 - (i & 1023), i, r, s) for i, r, s in _rows(doc[here], (at - starts[doc])[here], ids, rows)]
     h, at, doc = h[~here], at[~here], doc[~here]
@@ -109,7 +112,13 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
 
         def settled():
             ids, rows, sizes, flat = (np.concatenate(x) for x in zip(*held))
-            return batch_of(_block(ids, rows, sizes, flat, width, bits))
+            held.clear()
+            found = _block(ids, rows, sizes, flat, width, bits)
+            del flat
+            # Few rows at a time become Arrow's, so the block isn't held twice.
+            while found:
+                yield batch_of(found[-64:])
+                del found[-64:]
 
         for b in batches:
             lists = b.column("w")
@@ -118,15 +127,14 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
             held.append((b.column("id").to_numpy(), b.column("row").to_numpy(), sizes, flat))
             n += len(flat)
             if n >= block:
-                yield settled()
-                held, n = [], 0
+                yield from settled()
+                n = 0
         if held:
-            yield settled()
+            yield from settled()
 
     def compare(group: pa.Table) -> pa.Table:
         if not group.num_rows or group.column("bucket")[0].as_py() < 0:
             return group.select(["id", "row", "data"])
-        own, place_of, hashes = [], [], []
         parts = [_unblock(x.as_py()) for x in group.column("data")]
         h = np.concatenate([p[4] for p in parts])
         order = np.argsort(h)
@@ -135,7 +143,7 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
         begin = packed.runs(h)
         smallest = np.repeat(np.minimum.reduceat(ids, begin), np.diff([*begin, len(h)]))
         hit = np.sort(order[ids > smallest])
-        del h, ids, order, own, place_of, hashes
+        del h, ids, order, smallest
         found, start = [], 0
         for p in parts:
             mine = hit[(hit >= start) & (hit < start + len(p[4]))] - start
