@@ -9,7 +9,7 @@ check digit, a date a date, and equal values stay equal in every document.
 kind     check                                 kept
 =======  ====================================  ==============================
 card     13 to 19 digits, Luhn                 separators, check digit right
-phone    international or (ddd) form           country code, separators
+phone    +, (ddd) or ddd-ddd-dddd form         country code, separators
 ssn      no area 000, 666, 9xx; no zero parts  separators, the same checks
 iban     remainder 1 modulo 97                 country, letters, spacing
 ipv4     four numbers up to 255                form
@@ -21,6 +21,12 @@ The local part of an address has no such domain; its letters and digits are repl
 by a keyed hash of the whole address. Matches that fail their check stay as they
 are, and so does all other text.
 
+Numbers stand next to other numbers: a card before its expiry, an IBAN before a
+currency. So groups of digits and capitals with one space or hyphen between them are
+taken as one run, however long, and every part of it from one group to another is
+tested; of those that pass, the one that starts first counts, then the kind that
+comes first in FORMS, then the longest.
+
 Cases: a null text stays null and has no finds; texts without a digit or @ are passed
 through; of overlapping matches the one that starts first counts; rows that repeat
 an id and further columns are kept.
@@ -32,17 +38,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDGE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+DOTTED_DATE = EDGE + r"\d{1,2}[./]\d{1,2}[./]\d{4}(?![\p{L}\p{N}]|\.\d)"
+DOTTED_PHONE = r"\d{3}\.\d{3}\.\d{4}" + END
+IPV4 = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"
+#: What a phone number doesn't run on into.
+OTHER = r"\d{4}-\d\d-\d\d\b|\d{3}-\d\d-\d{4}\b|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|\d{4}[ -]\d{6}[ -]\d{4}|" + f"{DOTTED_DATE}|{IPV4}"
 FORMS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + END,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}" + END
-    + r"|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]\d{2,4}){3,4}" + END,
-    "date": EDGE + r"\d{4}-\d{2}-\d{2}" + END + "|" + EDGE + r"\d{1,2}[./]\d{1,2}[./]\d{4}(?![\p{L}\p{N}]|\.\d)",
+    + r"|(?<![\p{L}\p{N}+])\+\d(?:(?:[ .-](?!" + OTHER + r"))?\d){7,14}" + END
+    + r"|(?<![\p{L}\p{N}+])(?:\d{3}-\d{3}-\d{4}" + END + r"|\d{3} \d{3} \d{4}" + END + "|" + DOTTED_PHONE + ")",
+    "date": EDGE + r"\d{4}-\d{2}-\d{2}" + END + "|" + DOTTED_DATE,
     "ssn": EDGE + r"\d{3}-\d{2}-\d{4}" + END,
-    "ipv4": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
+    "ipv4": IPV4,
     "card": EDGE + r"\d(?:[ -]?\d){12,18}" + END,
 }
-ANY = "|".join(FORMS.values())
+KINDS = {name: n for n, name in enumerate(FORMS)}
+#: A group of a run: not the start of a dotted form or of an address.
+GROUP = rf"(?!{DOTTED_DATE}|{DOTTED_PHONE}|{IPV4})[A-Z0-9]++(?![\p{{L}}\p{{N}}]|[\p{{L}}\p{{N}}._%+-]{{0,64}}@)"
+#: Possessive, so Java's stack doesn't grow with the run.
+RUN = EDGE + r"(?=\d(?:[ -]?\d){12}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2})" + f"{GROUP}(?:[ -]{GROUP})*+"
+#: Groups of the longest card, with one digit in each.
+GROUPS = 19
+ANY = "|".join([FORMS["email"], RUN, *(FORMS[x] for x in ("phone", "date", "ssn", "ipv4"))])
+#: Country codes of one or two digits; the rest have three.
+CODES = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 ROUNDS = 8
 #: Days of 400 Gregorian years, as a product for the two residues.
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
@@ -117,17 +138,31 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
+def _is_card(m: Column) -> Column:
+    return luhn_sum(digits_of(m), 1) % 10 == 0
+
+
+def _is_iban(m: Column) -> Column:
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    return mod97(F.concat(F.substring(bare, F.lit(5), F.char_length(bare)), F.substring(bare, 1, 4))) == 1
+
+
+def _is_day(day: Column) -> Column:
+    at = F.datediff(day, F.to_date(F.lit(FIRST_DAY)))
+    return day.isNotNull() & (at >= 0) & (at < DAYS[0] * DAYS[1])
+
+
 def _card(m: Column, key: str) -> Column:
     d = digits_of(m)
     payload = permuted_digits(F.substring(d, F.lit(1), F.char_length(d) - 1), key, "card")
     whole = F.aggregate(
         F.array(payload), F.lit(""), lambda _, p: F.concat(p, ((10 - luhn_sum(p, 0) % 10) % 10).cast("string"))
     )
-    return F.when(luhn_sum(d, 1) % 10 == 0, placed(m, whole))
+    return F.when(_is_card(m), placed(m, whole))
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+\d{1,3}", 0)
+    code = F.regexp_extract(m, rf"^\+(?:\d{{1,3}}(?=[ .(-])|{CODES}|\d{{3}})", 0)
     rest = F.substring(m, F.char_length(code) + 1, F.char_length(m))
     return F.concat(code, placed(rest, permuted_digits(digits_of(rest), key, "phone")))
 
@@ -155,7 +190,7 @@ def _iban(m: Column, key: str) -> Column:
             country, F.lpad((98 - mod97(F.concat(F.replace(x, F.lit(" "), F.lit("")), country, F.lit("00")))).cast("string"), 2, "0"), x
         ),
     )
-    return F.when(mod97(F.concat(F.substring(bare, F.lit(5), F.char_length(bare)), F.substring(bare, 1, 4))) == 1, checked)
+    return F.when(_is_iban(m), checked)
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -183,7 +218,7 @@ def _date(m: Column, key: str) -> Column:
     shapes = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(us, F.date_format(new, "MM/dd/yyyy")).otherwise(
         F.date_format(new, "dd.MM.yyyy")
     )
-    return F.when(day.isNotNull() & (at >= 0) & (at < p * q), shapes)
+    return F.when(_is_day(day), shapes)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -202,6 +237,57 @@ def _email(m: Column, key: str) -> Column:
 MASKS = {"email": _email, "iban": _iban, "phone": _phone, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "card": _card}
 
 
+def _kind_in_run(s: Column) -> Column:
+    """The place in KINDS of a part of a run that passes, else null."""
+
+    def fits(name: str) -> Column:
+        return s.rlike(f"^(?:{FORMS[name]})$")
+
+    ssn = s.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
+    return (
+        F.when(fits("iban") & _is_iban(s), KINDS["iban"]).when(fits("phone"), KINDS["phone"])
+        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$") & _is_day(F.try_to_date(s, "yyyy-MM-dd")), KINDS["date"])
+        .when(ssn, KINDS["ssn"]).when(fits("card") & _is_card(s), KINDS["card"])
+    )
+
+
+def _cut(m: Column) -> Column:
+    """A match as the parts to judge: of a run those that pass and what lies between."""
+
+    def of_run(pieces: Column) -> Column:
+        # Groups and the signs between them take turns.
+        n = (F.size(pieces) / 2).cast("int")
+
+        def part(i: Column, groups: Column) -> Column:
+            return F.array_join(F.slice(pieces, 2 * i + 1, 2 * groups - 1), "")
+
+        def best(i: Column) -> Column:
+            lengths = F.sequence(F.lit(1), F.least(F.lit(GROUPS), n + 1 - i))
+            found = F.transform(lengths, lambda k: F.struct(_kind_in_run(part(i, k)).alias("kind"), (-k).alias("k")))
+            return F.coalesce(-F.array_min(F.filter(found, lambda x: x["kind"].isNotNull()))["k"], F.lit(0))
+
+        def step(s: Column, k: Column) -> Column:
+            sign = F.when(s["at"] > 0, F.slice(pieces, F.greatest(2 * s["at"], F.lit(1)), 1)).otherwise(F.array().cast("array<string>"))
+            more = F.concat(s["out"], sign, F.array(part(s["at"], F.greatest(k, F.lit(1)))))
+            skipped = s["at"] < s["next"]
+            return F.struct(
+                (s["at"] + 1).alias("at"),
+                F.when(skipped, s["next"]).otherwise(s["at"] + F.greatest(k, F.lit(1))).alias("next"),
+                F.when(skipped, s["out"]).otherwise(more).alias("out"),
+            )
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+        best_of = F.transform(F.sequence(F.lit(0), n), best)
+        # As an array of one, so that the lengths are found once.
+        return F.flatten(F.transform(
+            F.array(best_of),
+            lambda ks: F.when(F.exists(ks, lambda k: k > 0), F.aggregate(ks, start, step)["out"]).otherwise(F.array(m)),
+        ))
+
+    run = F.flatten(F.transform(F.array(F.split(m, "(?<=[ -])|(?=[ -])")), of_run))
+    return F.when(m.rlike("^[A-Z0-9]+(?:[ -][A-Z0-9]+)*+$"), run).otherwise(F.array(m))
+
+
 def _judged(m: Column, key: str) -> Column:
     """struct(kind, found, instead); kind is null where the check fails."""
     kind, instead = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -218,10 +304,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "pii"
     """
     t = F.col(text)
     none = F.array().cast("array<struct<kind:string,found:string,instead:string>>")
+    nothing = F.array().cast("array<array<struct<kind:string,found:string,instead:string>>>")
     matches = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    judged = F.transform(matches, lambda m: _judged(m, key))
-    found = docs.withColumn("__all", F.when(t.rlike("[0-9@]"), judged).otherwise(none))
-    glued = F.zip_with(F.split(t, ANY), F.col("__all"), lambda gap, x: F.concat(gap, F.coalesce(x["instead"], F.lit(""))))
-    real = F.filter("__all", lambda x: x["kind"].isNotNull())
+    judged = F.transform(matches, lambda m: F.transform(_cut(m), lambda x: _judged(x, key)))
+    found = docs.withColumn("__all", F.when(t.rlike("[0-9@]"), judged).otherwise(nothing))
+    glued = F.zip_with(
+        F.split(t, ANY), F.col("__all"),
+        lambda gap, xs: F.concat(gap, F.coalesce(F.array_join(F.transform(xs, lambda x: x["instead"]), ""), F.lit(""))),
+    )
+    real = F.filter(F.flatten("__all"), lambda x: x["kind"].isNotNull())
     masked = F.when(F.size(real) > 0, F.array_join(glued, "")).otherwise(t)
     return found.withColumn(text, masked).withColumn(out, F.coalesce(real, none)).drop("__all")
