@@ -13,7 +13,8 @@ covers. 56 bits of a hash and its bucket, 58 to 64 in all, are compared.
 
 Cases: null texts have no words; texts shorter than a window keep all words; a null
 id counts as larger than any; rows that repeat an id don't cover each other, and
-every row gives a row. Repeats inside one document stay.
+every row gives a row. Repeats inside one document stay. Rows that share an id, as
+those without one do, are told apart by a 64-bit hash of the text and its length.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
@@ -32,6 +33,8 @@ WIDTH = 13
 #: Words of one block.
 BLOCK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
+#: What tells rows of one id apart: hash and octets of the text.
+ROW = np.dtype([("row", "<i8"), ("octets", "<i4")])
 
 
 def _spans(places: np.ndarray) -> bytes:
@@ -41,17 +44,17 @@ def _spans(places: np.ndarray) -> bytes:
     return np.stack([places[first], number], 1).astype(np.uint32).tobytes()
 
 
-def _rows(doc: np.ndarray, place: np.ndarray, ids, rows) -> Iterator[tuple[int, int, bytes]]:
-    """For each document among (doc, place) its id, row hash and places."""
+def _rows(doc: np.ndarray, place: np.ndarray, ids, rows) -> Iterator[tuple[int, int, int, bytes]]:
+    """For each document among (doc, place) its id, row and places."""
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     borders = [*packed.runs(doc), len(doc)]
     for a, b in zip(borders, borders[1:]):
-        yield int(ids[doc[a]]), int(rows[doc[a]]), _spans(place[a:b])
+        yield int(ids[doc[a]]), *rows[doc[a]].tolist(), _spans(place[a:b])
 
 
-def _block(ids, rows, sizes, flat, width: int, bits: int) -> list[tuple[int, int, int, bytes]]:
-    """(bucket, id, row, data): negative buckets are repeated places, others hashes to compare."""
+def _block(ids, rows, sizes, flat, width: int, bits: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(bucket, id, row, octets, data): negative buckets are repeated places, others hashes to compare."""
     at = packed.inside(sizes, width).astype(np.uint32)
     h = packed.rolling(flat, width)[at]
     del flat
@@ -66,14 +69,14 @@ def _block(ids, rows, sizes, flat, width: int, bits: int) -> list[tuple[int, int
     here = own > smallest
     del own, smallest
     starts = ends - sizes
-    out = [(-1 - (i & 1023), i, r, s) for i, r, s in _rows(doc[here], (at - starts[doc])[here], ids, rows)]
+    out = [(-1 - (i & 1023), i, *rest) for i, *rest in _rows(doc[here], (at - starts[doc])[here], ids, rows)]
     h, at, doc = h[~here], at[~here], doc[~here]
     borders = packed.slices(h, bits)
     for bucket in np.flatnonzero(np.diff(borders)):
         part = slice(borders[bucket], borders[bucket + 1])
         used, which = np.unique(doc[part], return_inverse=True)
         head = np.array([len(used), part.stop - part.start], np.int64)
-        out.append((int(bucket), 0, 0, b"".join(x.tobytes() for x in (
+        out.append((int(bucket), 0, 0, 0, b"".join(x.tobytes() for x in (
             head, ids[used], starts[used].astype(np.int64), rows[used], at[part].astype(np.uint32),
         )) + packed.pack(h[part], bits)))
     return out
@@ -83,27 +86,31 @@ def _unblock(data: bytes):
     docs, n = np.frombuffer(data, np.int64, 2)
     ids = np.frombuffer(data, np.int64, docs, 16)
     starts = np.frombuffer(data, np.int64, docs, 16 + 8 * docs)
-    rows = np.frombuffer(data, np.int32, docs, 16 + 16 * docs)
-    at = np.frombuffer(data, np.uint32, n, 16 + 20 * docs).astype(np.int64)
+    rows = np.frombuffer(data, ROW, docs, 16 + 16 * docs)
+    at = np.frombuffer(data, np.uint32, n, 16 + 28 * docs).astype(np.int64)
     doc = np.searchsorted(starts, at, "right") - 1
-    return ids, rows, doc, at - starts[doc], packed.unpack(data[16 + 20 * docs + 4 * n :])
+    return ids, rows, doc, at - starts[doc], packed.unpack(data[16 + 28 * docs + 4 * n :])
+
+
+def _row_of(body: Column) -> list[Column]:
+    return [F.xxhash64(body).alias("row"), F.octet_length(body).alias("octets")]
 
 
 def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """id, row and spans: binary runs (first word, number) at which repeated windows start."""
+    """id, row, octets and data: binary runs (first word, number) at which repeated windows start."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
     bits = packed.bucket_bits(size / 6)
     body = text_of(text)
     hashed = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.hash(body).alias("row"),
+        *_row_of(body),
         F.transform(words(body), lambda w: F.xxhash64(w)).alias("w"),
     )
-    schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("row", pa.int32()), ("data", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("octets", pa.int32()), ("data", pa.binary())])
 
     def batch_of(found) -> pa.RecordBatch:
-        columns = list(zip(*found)) if found else [()] * 4
+        columns = list(zip(*found)) if found else [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +131,10 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
             lists = b.column("w")
             flat = lists.flatten().to_numpy().view(np.uint64)
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            held.append((b.column("id").to_numpy(), b.column("row").to_numpy(), sizes, flat))
+            rows = np.empty(b.num_rows, ROW)
+            for c in ROW.names:
+                rows[c] = b.column(c).to_numpy()
+            held.append((b.column("id").to_numpy(), rows, sizes, flat))
             n += len(flat)
             if n >= block:
                 yield from settled()
@@ -134,7 +144,7 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
 
     def compare(group: pa.Table) -> pa.Table:
         if not group.num_rows or group.column("bucket")[0].as_py() < 0:
-            return group.select(["id", "row", "data"])
+            return group.select(["id", "row", "octets", "data"])
         parts = [_unblock(x.as_py()) for x in group.column("data")]
         h = np.concatenate([p[4] for p in parts])
         order = np.argsort(h)
@@ -149,11 +159,11 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
             mine = hit[(hit >= start) & (hit < start + len(p[4]))] - start
             found += _rows(p[2][mine], p[3][mine], p[0], p[1])
             start += len(p[4])
-        columns = list(zip(*found)) if found else [()] * 3
+        columns = list(zip(*found)) if found else [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types[1:])], schema=pa.schema(list(schema)[1:]))
 
-    sent = hashed.mapInArrow(blocks, "bucket int, id long, row int, data binary")
-    return sent.groupBy("bucket").applyInArrow(compare, "id long, row int, data binary")
+    sent = hashed.mapInArrow(blocks, "bucket int, id long, row long, octets int, data binary")
+    return sent.groupBy("bucket").applyInArrow(compare, "id long, row long, octets int, data binary")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -163,10 +173,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     added = {"n_words": "long", "n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept_text": "string"}
     docs = docs.drop(*added)
     found = stored(repeated_places(docs, key, text, width), "repeated-places")
-    by_row = found.groupBy("id", "row").agg(F.collect_list("data").alias("__places"))
+    by_row = found.groupBy("id", *ROW.names).agg(F.collect_list("data").alias("__places"))
     ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    tagged = docs.select(whole(docs), ids.alias("id"), F.hash(text_of(text)).alias("row"))
-    both = tagged.join(by_row, ["id", "row"], "left").select("__doc.*", "__places")
+    tagged = docs.select(whole(docs), ids.alias("id"), *_row_of(text_of(text)))
+    both = tagged.join(by_row, ["id", *ROW.names], "left").select("__doc.*", "__places")
     columns = docs.columns
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 

@@ -629,6 +629,19 @@ def test_substrings_equal_brute_force(spark, odd, empty, docs, width, block, mon
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_texts_with_one_hash(spark):
+    """Rows without an id, two by two with the same 32-bit hash: only one of two holds a repeat."""
+    passage = " ".join(f"w{i}" for i in range(13))
+    n = spark.range(0, 200_000, 1, 8)
+    long = n.select(F.concat(F.lit(passage + " "), F.col("id").cast("string")).alias("a")).withColumn("h", F.hash("a"))
+    short = n.select(F.concat(F.lit("clean "), F.col("id").cast("string")).alias("b")).withColumn("h", F.hash("b"))
+    pairs = long.join(short, "h").limit(3).collect()
+    assert pairs
+    rows = [(1, passage)] + [(None, t) for p in pairs for t in (p.a, p.b, f"{p.b} " + " ".join(f"u{i}" for i in range(20)))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows)
+
+
 def test_packed_hashes_come_back():
     import numpy as np
 
