@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,6 +18,30 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = 8 << 20
 
 
+class Memory(dict):
+    """What ``make`` gives for a key, remembered up to ``size`` bytes.
+
+    Two halves: when the newer is full it takes the place of the older, and what was
+    not asked for since goes. Long keys are never kept.
+    """
+
+    def __init__(self, make: Callable, size: int = 16 << 20, longest: int = 64):
+        self.make, self.half, self.longest, self.used, self.older = make, size // 2, longest, 0, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if not isinstance(key, str) or len(key) <= self.longest:
+            cost = sys.getsizeof(key) + sys.getsizeof(value) + 100
+            if self.used + cost > self.half:
+                self.older, self.used = dict(self), 0
+                self.clear()
+            self.used += cost
+            self[key] = value
+        return value
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back; the shuffle files
     behind it are dropped, so that the disk holds one step at a time."""

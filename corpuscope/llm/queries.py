@@ -9,16 +9,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, mixing, near_dedup, pii, quality, substring_dedup, token_counts, urls
+from . import (
+    bpe, exact_dedup, fingerprints, manifest, merges, mixing, near_dedup, pii, quality, substring_dedup, token_counts, urls, variants,
+)
 from .common import read
-from .sql import OP10, OP2, OP3, OP9
+from .sql import OP10, OP11, OP12, OP2, OP3, OP9
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 #: A deployment passes its own secret.
 PII_KEY = "corpuscope"
+MERGES_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
 
 
+@cache
+def merge_vocabulary(path: str = public_tokenizers.path(MERGES_FILE)) -> merges.Merges:
+    return merges.Merges(path)
+
+
 @cache
 def vocabulary(path: str = public_tokenizers.path(BPE_FILE), pattern: str = public_tokenizers.PATTERN) -> bpe.Vocabulary:
     return bpe.Vocabulary(bpe.load_ranks(path), pattern)
@@ -82,7 +90,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.token_digests(read(spark, sf_dir, "documents"), merge_vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_exact_dedup, op4_pii, op5_token_counts, op6_quality, op7_near_dedup, op8_fingerprints, op9_url_filter, op10_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_source_mix, op3_exact_dedup, op4_pii, op5_token_counts, op6_quality, op7_near_dedup,
+        op8_fingerprints, op9_url_filter, op10_substring_dedup, op11_spelling_variants, op12_merkle_manifest, op13_bpe,
+    )
+}
+SQL: dict[str, str] = {
+    "op2_source_mix": OP2, "op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10,
+    "op11_spelling_variants": OP11, "op12_merkle_manifest": OP12,
 }
-SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_exact_dedup": OP3, "op9_url_filter": OP9, "op10_substring_dedup": OP10}

@@ -1,7 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .manifest import FAN_OUT
 from .mixing import LIMIT as MIX_LIMIT
 from .mixing import SEED
+from .variants import EVERY, FEWEST, LETTERS, SHORTEST, TIMES
 from .urls import LIMIT, RULES, Z
 
 OP3 = r"""
@@ -120,3 +122,103 @@ SELECT p.page_id, p.host, path, rule,
   coalesce(says, CASE WHEN m - {Z} * sd > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN mh USING (host) LEFT JOIN (SELECT * FROM fit WHERE i = 1) f ON p.page_id = f.page_id
 """
+
+
+def _crc32(hex_text: str) -> str:
+    """Unsigned crc32 of bytes given as hex text; needs the table ``crc``."""
+    octets = f"list_transform(generate_series(1, length({hex_text}), 2), lambda k: ('0x' || substr({hex_text}, k, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+#: The table of crc32, from its polynomial.
+CRC = """crc AS (
+  SELECT list(list_reduce(generate_series(1, 8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM (SELECT unnest(generate_series(0::BIGINT, 255)) AS b)
+)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+# Trees of all languages (crown 0) are built level by level, then the tree of their roots.
+OP12 = f"""
+WITH RECURSIVE {CRC}, d AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_crc32("hex(encode(doc_id::VARCHAR))")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS changed
+  FROM documents, crc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d
+), node AS (
+  SELECT lang, 0 AS level, i, leaf AS h, n FROM ranked
+  UNION ALL
+  SELECT lang, level + 1, i // {FAN_OUT}, sha256(string_agg(h, '' ORDER BY i)), (n + {FAN_OUT - 1}) // {FAN_OUT}
+  FROM node WHERE n > 1 GROUP BY lang, level, i // {FAN_OUT}, n
+), subroot AS (
+  SELECT lang, h, level AS levels, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1
+), crown AS (
+  SELECT 0 AS level, i, h, n FROM subroot
+  UNION ALL
+  SELECT level + 1, i // {FAN_OUT}, sha256(string_agg(h, '' ORDER BY i)), (n + {FAN_OUT - 1}) // {FAN_OUT}
+  FROM crown WHERE n > 1 GROUP BY level, i // {FAN_OUT}, n
+), way AS (
+  SELECT r.doc_id, r.leaf, coalesce(r.changed, r.leaf) AS folded, r.lang, r.i, s.h AS subroot, s.i AS s, s.levels,
+    s.levels + (SELECT max(level) FROM crown) AS all_levels, row_number() OVER () AS id
+  FROM ranked r JOIN subroot s ON r.lang IS NOT DISTINCT FROM s.lang
+), side AS (
+  SELECT id, n.level, n.i < w.i // ({FAN_OUT} ** n.level)::BIGINT AS left_of, n.i, n.h
+  FROM way w JOIN node n ON w.lang IS NOT DISTINCT FROM n.lang AND n.level < w.levels
+    AND n.i // {FAN_OUT} = w.i // ({FAN_OUT} ** (n.level + 1))::BIGINT AND n.i <> w.i // ({FAN_OUT} ** n.level)::BIGINT
+  UNION ALL
+  SELECT id, w.levels + c.level, c.i < w.s // ({FAN_OUT} ** c.level)::BIGINT, c.i, c.h
+  FROM way w JOIN crown c ON c.i // {FAN_OUT} = w.s // ({FAN_OUT} ** (c.level + 1))::BIGINT AND c.i <> w.s // ({FAN_OUT} ** c.level)::BIGINT
+    AND c.n > 1
+), step AS (
+  SELECT id, level, coalesce(string_agg(h, '' ORDER BY i) FILTER (left_of), '') AS l, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT left_of), '') AS r
+  FROM side GROUP BY id, level
+), proof AS (SELECT id, string_agg(l || r, '' ORDER BY level) AS p FROM step GROUP BY id),
+fold AS (
+  SELECT id, 0 AS level, folded AS h, all_levels FROM way
+  UNION ALL
+  SELECT f.id, f.level + 1, sha256(coalesce(l, '') || h || coalesce(r, '')), all_levels
+  FROM fold f LEFT JOIN step s ON f.id = s.id AND f.level = s.level WHERE f.level < all_levels
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM way w LEFT JOIN proof USING (id) JOIN (SELECT id, h FROM fold WHERE level = all_levels) f USING (id),
+  (SELECT h AS root FROM crown WHERE n = 1)
+"""
+
+
+# Words that share what is left without one letter, at the same place, differ by a
+# replaced letter; a word that is what is left of another differs by an inserted one.
+OP11 = f"""
+WITH RECURSIVE {CRC}, run AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[{LETTERS}]{{{SHORTEST},}}')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), hashed AS (
+  SELECT run, n, {_crc32("hex(encode(id || ':' || run))")} AS h FROM (SELECT id, run, count(*) AS n FROM run GROUP BY ALL), crc
+), named AS (
+  SELECT n, CASE WHEN h % {EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS name FROM hashed
+), w AS (
+  SELECT name AS word, sum(n)::BIGINT AS n FROM named GROUP BY name HAVING sum(named.n) >= {FEWEST} AND length(name) >= {SHORTEST}
+), cut AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS left_over FROM w, unnest(range(1, length(word) + 1)) AS t(k)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.left_over = b.left_over AND a.k = b.k AND a.word <> b.word
+  UNION SELECT w.word, cut.word, cut.n FROM w JOIN cut ON w.word = left_over
+  UNION SELECT cut.word, w.word, w.n FROM w JOIN cut ON w.word = left_over
+), best AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(near, (-n, near)) AS near FROM near GROUP BY word),
+found AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {TIMES} * w.n THEN near END AS form, CASE WHEN top >= {TIMES} * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS last, form FROM found
+  UNION ALL
+  SELECT way.word, f.word, f.form FROM way JOIN found f ON way.form = f.word
+)
+SELECT word, f.form, last AS root, n, n_near, form_n FROM found f JOIN (SELECT word, last FROM way WHERE form IS NULL) USING (word)
+"""
