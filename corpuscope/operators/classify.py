@@ -1,29 +1,28 @@
 """From hand-coded labels to labels for the whole corpus.
 
-Text becomes signed hash features as (comment, bucket, sign) rows. The lasso is
-fitted by Spark ML on the labelled comments; its coefficients are a table of at
-most ``num_terms`` rows, and the corpus is scored by joining that table.
+Text becomes signed hash features as (comment, bucket, sign) rows. The lasso's path is
+fitted on the labelled comments (``lasso``); the coefficients at one penalty are a table
+of at most ``num_terms`` + 1 rows, and the corpus is scored by joining that table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import binary_hash, md5_int
 from ..functions.stemming import stem
 from ..functions.text import str_trunc
-from ..session import written
 from .corpus import concat_texts
+from .lasso import EVERY, held_out_counts
 from .scale import join_by_frequency
 from .tables import count_share, mark
 
@@ -140,12 +139,6 @@ def penalty_grid(levels: int = 30, low: float = -10.0, high: float = 0.0) -> lis
     return [10.0**x for x in np.linspace(low, high, levels)]
 
 
-def lasso(penalty: float) -> LogisticRegression:
-    return LogisticRegression(
-        elasticNetParam=1.0, regParam=penalty, weightCol="weight", maxIter=100
-    )
-
-
 def metrics(
     predicted: DataFrame, truth: str = "support", estimate: str = "pred_class", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -161,44 +154,18 @@ def metrics(
     )
 
 
-def tune_lasso(train: DataFrame, penalties: Sequence[float], fold: str = "fold", at_once: int = 8) -> DataFrame:
-    """Held-out metrics per penalty and fold.
-
-    ``train`` has features, label, support, weight and a fold number. A fold's
-    rows are cached while its models are fitted, several at a time; the held-out
-    rows are read once for all of them, against one table of coefficients with at
-    most ``len(penalties)`` * (terms + 1) rows.
-    """
-    sizes = train.groupBy(fold).count().collect()
-    folds = sorted(r[0] for r in sizes)
-    # A part for some thousand rows: each of a fit's many steps is a job over all parts.
-    parts = max(1, sum(r["count"] for r in sizes) // 4000)
-    results = None
-    for f in folds:
-        fit_on, held = train.filter(F.col(fold) != f).coalesce(parts).persist(), train.filter(F.col(fold) == f)
-        try:
-            with ThreadPoolExecutor(at_once) as pool:
-                models = list(pool.map(lambda p: lasso(p).fit(fit_on), penalties))
-        finally:
-            fit_on.unpersist()
-        table = written(metrics(_scored(held, penalties, models), by=["penalty"]).withColumn("fold", F.lit(f)), "fold-metrics")
-        results = table if results is None else results.unionByName(table)
-    return results
-
-
-def _scored(held: DataFrame, penalties: Sequence[float], models: Sequence) -> DataFrame:
-    """penalty, support and pred_class of each held-out comment under each model."""
-    rows = [(float(p), int(i), float(m.coefficients[int(i)])) for p, m in zip(penalties, models) for i in m.coefficients.toArray().nonzero()[0]]
-    biases = [(float(p), float(m.intercept)) for p, m in zip(penalties, models)]
-    spark = held.sparkSession
-    beta = spark.createDataFrame(rows, "penalty double, bucket int, beta double")
-    bias = F.array(*[F.struct(F.lit(p).alias("penalty"), F.lit(b).alias("bias")) for p, b in biases])
-    cells = held.select("comment_id", F.posexplode(vector_to_array("features")).alias("bucket", "x")).filter("x <> 0")
-    sums = cells.join(F.broadcast(beta), "bucket").groupBy("comment_id", "penalty").agg(F.sum(F.col("x") * F.col("beta")).alias("z"))
-    every = held.select("comment_id", "support", F.explode(bias).alias("m")).select("comment_id", "support", "m.*")
-    z = F.coalesce("z", F.lit(0.0)) + F.col("bias")
-    return every.join(sums, ["comment_id", "penalty"], "left").select(
-        "penalty", "support", F.when(z > 0, POSITIVE).otherwise(NEGATIVE).alias("pred_class")
+def tune_lasso(rows: DataFrame, path: DataFrame, num_terms: int = NUM_TERMS) -> DataFrame:
+    """Held-out metrics per penalty and fold of a lasso path, from counts of hits and misses."""
+    counts = held_out_counts(rows, path, num_terms)
+    tp, fn, tn, fp = (F.col(c) for c in ("tp", "fn", "tn", "fp"))
+    sensitivity, specificity = F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
+    return counts.select(
+        "penalty",
+        "fold",
+        F.try_divide(tp + tn, tp + fn + tn + fp).alias("accuracy"),
+        sensitivity.alias("sensitivity"),
+        specificity.alias("specificity"),
+        ((sensitivity + specificity) / 2).alias("bal_accuracy"),
     )
 
 
@@ -214,10 +181,11 @@ def show_best(tuning: DataFrame, metric: str = "bal_accuracy", n: int = 5) -> Da
     return collect_metrics(tuning).orderBy(F.desc(metric), "penalty").limit(n)
 
 
-def fit_best(train: DataFrame, tuning: DataFrame, metric: str = "bal_accuracy"):
-    """Lasso on the whole training set at the best penalty."""
-    best = show_best(tuning, metric, 1).first()
-    return lasso(best["penalty"]).fit(train)
+def best_coefficients(path: DataFrame, tuning: DataFrame, metric: str = "bal_accuracy") -> DataFrame:
+    """bucket and beta of the fit on the whole training set at the best penalty; the intercept has bucket -1."""
+    best = show_best(tuning, metric, 1).select("penalty")
+    fitted = path.filter((F.col("fold") == EVERY) & (F.col("penalty") == best.scalar()))
+    return fitted.select("bucket", "beta")
 
 
 def fit_forest(train: DataFrame, trees: int = 1000, max_depth: int = 10, seed: int = 0):
@@ -226,14 +194,6 @@ def fit_forest(train: DataFrame, trees: int = 1000, max_depth: int = 10, seed: i
     ).fit(train)
 
 
-def coefficient_table(spark: SparkSession, model) -> DataFrame:
-    """Non-zero coefficients by bucket; the intercept has bucket -1."""
-    beta = model.coefficients.toArray()
-    rows = [(int(i), float(beta[i])) for i in np.flatnonzero(beta)]
-    rows.append((-1, float(model.intercept)))
-    return spark.createDataFrame(rows, "bucket int, beta double")
-
-
 def augment(comments: DataFrame, features: DataFrame, coefficients: DataFrame) -> DataFrame:
     """pred_class and pred_oppose for each comment.
 

@@ -11,6 +11,7 @@ from ..operators.annotate import tagged_tokens
 from ..session import written
 from . import inputs as I
 from .catalog import query
+from .labels import model_codings
 from .sql import sql
 from .text import vocab_bigrams
 from .verbs import r6
@@ -265,3 +266,33 @@ def noun_occurrence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrence under one key made of coding and side, as a plot needs it."""
     p_df = S.noun_occurrence(_coded(spark, sf_dir))
     return r6(p_df.select(F.concat_ws(".", "coding", "support").alias("grp"), "noun", "p"))
+
+
+# --- the same over the labels of the fitted model --------------------------------------
+
+
+def _model_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(S.coded_bigrams(vocab_bigrams(spark, sf_dir), model_codings(spark, sf_dir)), "coded")
+
+
+@query()
+def model_n_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments per side and label set, the imputed ones from the fitted model."""
+    return S.n_docs_table(model_codings(spark, sf_dir), has_missing=True)
+
+
+@query()
+def model_noun_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.noun_share_summary(S.noun_share(_model_coded(spark, sf_dir)))
+
+
+@query()
+def model_bigram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.bigram_llr(S.bigram_occurrence(_model_coded(spark, sf_dir)))
+
+
+@query()
+def model_length_by_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comment lengths of the two sides under each label set."""
+    lengths = K.comment_length(tagged_tokens(I.corpus(spark, sf_dir)), None)
+    return S.length_by_support(lengths, model_codings(spark, sf_dir))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as G
 from ..operators import classify as M
+from ..operators import lasso as X
 from ..operators import tables as V
 from ..operators.agreement import load_manual_coding
 from ..operators.corpus import form_letters
@@ -219,16 +220,29 @@ def prediction_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fitted models: rows only --------------------------------------------------------
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Weighted training vectors with folds, and the features of the whole corpus."""
-    corpus = I.corpus(spark, sf_dir)
-    features = written(M.hashed_features(M.word_counts(corpus)), "features")
-    labelled = written(_training(spark, sf_dir).select("comment_id", "support"), "labelled")
-    split = V.stratified_split(labelled, "comment_id", "support", 0.75, 1).filter("split = 'train'")
-    folded = V.stratified_folds(M.with_class_weights(split), "comment_id", "support", 5, 2)
-    n = split.agg(F.count("*"))
-    used = M.drop_zero_variance(features.join(split.select("comment_id"), "comment_id", "left_semi"), n)
-    return written(M.feature_vectors(folded, used), "train"), features
+FOLDS = 5
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash features of the whole corpus."""
+    return load_or_build(spark, _once(spark, sf_dir, "features"), lambda: M.hashed_features(M.word_counts(I.corpus(spark, sf_dir))))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """comment_id, support and split of the labelled comments."""
+
+    def build() -> DataFrame:
+        return V.stratified_split(_training(spark, sf_dir).select("comment_id", "support"), "comment_id", "support", 0.75, 1)
+
+    return load_or_build(spark, _once(spark, sf_dir, "labelled"), build)
+
+
+def _train(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Weighted training comments with folds, and those of their features that vary."""
+    split = _labelled(spark, sf_dir).filter("split = 'train'")
+    folded = V.stratified_folds(M.with_class_weights(split), "comment_id", "support", FOLDS, 2)
+    own = _features(spark, sf_dir).join(split.select("comment_id"), "comment_id", "left_semi")
+    return folded, M.drop_zero_variance(own, split.agg(F.count("*")))
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -237,21 +251,49 @@ def _once(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{mark}"
 
 
-def _tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
-        return M.tune_lasso(_prepared(spark, sf_dir)[0], M.penalty_grid())
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse training rows."""
 
-    return load_or_build(spark, _once(spark, sf_dir, "tuning"), build)
+    def build() -> DataFrame:
+        folded, used = _train(spark, sf_dir)
+        return X.sparse_rows(folded.withColumn("fold", F.col("fold").cast("int")), used, M.POSITIVE)
 
+    return load_or_build(spark, _once(spark, sf_dir, "training-rows"), build)
 
-def _coefficients(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Coefficients of the lasso at the best penalty, and the corpus's features."""
-    train, features = _prepared(spark, sf_dir)
 
+def _path(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return M.coefficient_table(spark, M.fit_best(train, _tuning(spark, sf_dir)))
+        rows = _rows(spark, sf_dir)
+        folds = sorted(r.fold for r in rows.select("fold").distinct().collect())
+        return X.lasso_path(rows, M.penalty_grid(), M.NUM_TERMS, folds)
+
+    return load_or_build(spark, _once(spark, sf_dir, "lasso-path"), build)
+
+
+def _tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.tune_lasso(_rows(spark, sf_dir), _path(spark, sf_dir))
 
-    return load_or_build(spark, _once(spark, sf_dir, "lasso"), build), features
+
+def _coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of the lasso at the best penalty."""
+    return M.best_coefficients(_path(spark, sf_dir), written(_tuning(spark, sf_dir), "tuning"))
+
+
+@query(
+    f"""SELECT f::INTEGER AS fold, l::INTEGER AS level, true AS holds
+FROM (SELECT unnest(range(-1, {FOLDS})) AS f), (SELECT unnest(range(30)) AS l)"""
+)
+def lasso_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each fit of the path is optimal: its gradient against its penalty, by joins and sums.
+
+    A level is a penalty's place in the grid; those beyond the end of a path share its last fit.
+    """
+    path = _path(spark, sf_dir)
+    off = X.conditions(_rows(spark, sf_dir), path, M.NUM_TERMS).select("fold", "fitted", "worst")
+    grid = F.array(*[F.lit(p) for p in M.penalty_grid()])
+    level = F.aggregate(grid, F.lit(0), lambda n, p: n + (p < F.col("penalty") * (1 - 1e-9)).cast("int"))
+    fits = path.select("fold", "penalty", "fitted").distinct()
+    return fits.join(off, ["fold", "fitted"]).select("fold", level.alias("level"), (F.col("worst") < 2 * X.TOLERANCE).alias("holds"))
 
 
 @query()
@@ -263,39 +305,40 @@ def lasso_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def best_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best penalties by each metric."""
-    tuning = _tuning(spark, sf_dir)
+    tuning = written(_tuning(spark, sf_dir), "tuning")
     return V.tagged_union({m: M.show_best(tuning, m) for m in M.METRICS}, "metric")
 
 
 @query()
 def lasso_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coefficients(spark, sf_dir)[0]
+    return _coefficients(spark, sf_dir)
 
 
 @query()
 def lasso_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and probability for every comment of the corpus."""
-    coefficients, features = _coefficients(spark, sf_dir)
     everyone = I.corpus(spark, sf_dir).select("comment_id").distinct()
-    return M.augment(everyone, features, coefficients)
+    return M.augment(everyone, _features(spark, sf_dir), _coefficients(spark, sf_dir))
 
 
 def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = _training(spark, sf_dir).select("comment_id", "support")
-    return V.stratified_split(labelled, "comment_id", "support", 0.75, 1).filter("split = 'test'").drop("split")
+    return _labelled(spark, sf_dir).filter("split = 'test'").drop("split")
 
 
 @query()
 def test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tuned lasso does on labelled comments that it has not seen."""
-    coefficients, features = _coefficients(spark, sf_dir)
-    return M.metrics(M.augment(_held_out(spark, sf_dir), features, coefficients))
+    return M.metrics(M.augment(_held_out(spark, sf_dir), _features(spark, sf_dir), _coefficients(spark, sf_dir)))
 
 
-@query()
-def imputed_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lasso's class and probability for every comment, fitted once in a session."""
+    return load_or_build(spark, _once(spark, sf_dir, "imputed"), lambda: lasso_predictions(spark, sf_dir))
+
+
+def model_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's labels for the corpus, all and confident ones, beside the hand-made ones."""
-    guess = lasso_predictions(spark, sf_dir)
+    guess = model_imputed(spark, sf_dir)
     frames = {
         "manual": load_manual_coding(I.coding(spark, sf_dir)),
         "filtered": M.load_imputed_filtered(guess),
@@ -304,10 +347,23 @@ def imputed_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tagged_union({k: v.select("comment_id", "support") for k, v in frames.items()})
 
 
+@query()
+def imputed_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_codings(spark, sf_dir)
+
+
+@query()
+def model_class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the classes that the model gives, over all comments and over those it is sure of."""
+    guess = model_imputed(spark, sf_dir)
+    frames = {"all": M.class_share(guess, "pred_class"), "confident": M.confident_class_share(guess)}
+    return V.tagged_union(frames, "comments")
+
+
 @query()
 def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forest's classes for labelled comments that it has not seen."""
-    train, features = _prepared(spark, sf_dir)
-    model = M.fit_forest(train)
-    vectors = M.feature_vectors(_held_out(spark, sf_dir), features)
+    folded, used = _train(spark, sf_dir)
+    model = M.fit_forest(written(M.feature_vectors(folded, used), "train"))
+    vectors = M.feature_vectors(_held_out(spark, sf_dir), _features(spark, sf_dir))
     return M.augment_with_model(model, vectors).select("comment_id", "support", "pred_class", "pred_oppose")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -59,13 +60,23 @@ def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> None:
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read a stored table; build and store it only when it is absent."""
+    """Read a stored table; build and store it only when it is absent.
+
+    It is written beside and renamed when it is whole, so a run that was killed leaves
+    nothing that a later one would take for the table. Of two that build at once the
+    first to end wins.
+    """
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    build().write.parquet(path)
+    beside = f"{path}-{uuid.uuid4().hex}"
+    build().write.parquet(beside)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(of(path)) or not files.rename(of(beside), of(path)):
+        files.delete(of(beside), True)
     return spark.read.parquet(path)
 
 

@@ -15,6 +15,7 @@ from corpuscope.operators import classify as M
 from corpuscope.operators import compare as S
 from corpuscope.operators import corpus as C
 from corpuscope.operators import embedding as E
+from corpuscope.operators import lasso as X
 from corpuscope.operators import pca as P
 from corpuscope.operators import tables as V
 from corpuscope.operators import vocab as B
@@ -326,18 +327,76 @@ def trained(spark):
     return text, coded, features, M.feature_vectors(folded, features).cache()
 
 
-def test_lasso_learns_and_scores_like_the_model(spark, trained):
-    text, coded, features, train = trained
-    tuning = M.tune_lasso(train, [1e-3, 1e-1])
-    assert M.collect_metrics(tuning).count() == 2
-    model = M.fit_best(train, tuning)
-    table = M.coefficient_table(spark, model)
-    assert table.count() <= M.NUM_TERMS + 1
-    scored = M.augment(coded, features, table)
-    joined = scored.join(M.augment_with_model(model, train).select("comment_id", F.col("pred_oppose").alias("q")), "comment_id")
-    assert joined.agg(F.max(F.abs(F.col("pred_oppose") - F.col("q")))).first()[0] < 1e-9
-    quality = M.metrics(scored).first()
+def lasso_rows(spark, trained):
+    _, coded, features, _ = trained
+    folded = V.stratified_folds(M.with_class_weights(coded), "comment_id", "support", 3, 1)
+    return X.sparse_rows(folded.withColumn("fold", F.col("fold").cast("int")), features, M.POSITIVE).cache()
+
+
+def test_lasso_path_learns_and_scores(spark, trained):
+    _, coded, features, _ = trained
+    rows = lasso_rows(spark, trained)
+    path = X.lasso_path(rows, [1e-9, 1e-3, 1e-2, 1e-1, 1.0], M.NUM_TERMS, [0, 1, 2]).cache()
+    off = X.conditions(rows, path, M.NUM_TERMS)
+    assert off.filter(f"worst is null or worst > {2 * X.TOLERANCE}").count() == 0
+    tuning = M.tune_lasso(rows, path)
+    assert tuning.count() == 15 and M.collect_metrics(tuning).count() == 5
+    table = M.best_coefficients(path, tuning)
+    assert table.filter("bucket = -1").count() == 1 and table.count() <= M.NUM_TERMS + 1
+    quality = M.metrics(M.augment(coded, features, table)).first()
     assert quality.bal_accuracy > 0.9 and 0 <= quality.specificity <= 1
+    # Penalties beyond the end of the path share its last fit; none is left at the largest.
+    ends = {r.penalty: r.fitted for r in path.filter("fold = -1").select("penalty", "fitted").distinct().collect()}
+    assert ends[1e-9] > 1e-9 and ends[1e-1] == 1e-1
+    assert path.filter("penalty = 1.0 AND bucket >= 0").count() == 0
+
+
+def test_lasso_held_out_metrics_are_those_of_scored_rows(spark, trained):
+    rows = lasso_rows(spark, trained)
+    path = X.lasso_path(rows, [1e-2], M.NUM_TERMS, [0, 1, 2]).cache()
+    tuning = {r.fold: r for r in M.tune_lasso(rows, path).collect()}
+    for fold in (0, 1, 2):
+        held = rows.filter(F.col("fold") == fold)
+        cells = held.select("comment_id", F.explode(F.arrays_zip("at", "x")).alias("c")).select("comment_id", F.col("c.at").alias("bucket"), F.col("c.x").alias("sign"))
+        scored = M.augment(held.select("comment_id", "support"), cells, path.filter(F.col("fold") == fold).select("bucket", "beta"))
+        want = M.metrics(scored).first()
+        assert [tuning[fold][m] for m in M.METRICS] == pytest.approx([want[m] for m in M.METRICS])
+
+
+def test_lasso_equals_plain_proximal_gradient(spark):
+    rng = np.random.default_rng(5)
+    n, terms = 60, 12
+    x = rng.choice([-1.0, 0.0, 1.0], (n, terms), p=[0.2, 0.5, 0.3])
+    y = (x[:, 0] + 0.7 * x[:, 3] + rng.normal(0, 0.8, n) > 0).astype(float)
+    w = rng.choice([1.0, 2.5], n)
+    data = [(str(i), float(y[i]), float(w[i]), i % 2, [int(j) for j in np.flatnonzero(x[i])], [float(v) for v in x[i][x[i] != 0]]) for i in range(n)]
+    rows = spark.createDataFrame(data, "comment_id string, y double, weight double, fold int, at array<int>, x array<double>")
+    found = X.lasso_path(rows, [0.15, 0.03, 0.008], terms, [0]).collect()
+    for fold in (0, X.EVERY):
+        use = np.arange(n) % 2 != fold if fold == 0 else np.ones(n, bool)
+        xs, ys, ws = x[use], y[use], w[use] / w[use].sum()
+        sd = np.sqrt(ws @ xs**2 - (ws @ xs) ** 2)
+        for penalty in (0.15, 0.03, 0.008):
+            b, b0, step = np.zeros(terms), 0.0, 0.2
+            for _ in range(20_000):
+                r = ws * (1 / (1 + np.exp(-(xs @ b + b0))) - ys)
+                b0 -= step * r.sum()
+                moved = b - step * (xs.T @ r)
+                b = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty * sd, 0)
+            got = np.zeros(terms + 1)
+            for r in found:
+                if r.fold == fold and r.penalty == penalty:
+                    got[r.bucket + 1] = r.beta
+            assert got == pytest.approx(np.concatenate([[b0], b]), abs=0.02)
+
+
+def test_lasso_of_little(spark):
+    schema = "comment_id string, y double, weight double, fold int, at array<int>, x array<double>"
+    assert X.lasso_path(spark.createDataFrame([], schema), [0.1], 4, [0]).count() == 0
+    one_class = spark.createDataFrame([("a", 1.0, 1.0, 0, [1], [1.0]), ("b", 1.0, 1.0, 1, [], [])], schema)
+    assert X.lasso_path(one_class, [0.1], 4, [0, 1]).count() == 0
+    both = one_class.union(spark.createDataFrame([("c", 0.0, 1.0, 1, [2], [-1.0])], schema))
+    assert {r.fold for r in X.lasso_path(both, [0.1], 4, [0, 1]).collect()} == {0, X.EVERY}
 
 
 def test_forest_is_fitted(spark, trained):
