@@ -32,7 +32,7 @@ def test_query_without_sql(spark, name):
 
 def test_registered():
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in found if k.startswith("op") and k[2].isdigit()}
     assert found["pipeline"] is corpus_pipeline.run
     assert queries.SQL.keys() <= __spark_entry__.oracle_sql().keys()
 
