@@ -23,40 +23,22 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
-#: Distinct words (and pieces, and token pairs) that one Python worker remembers twice over.
-KEPT = 250_000
+from .common import Memory, small_batches
 
+#: Bytes that one Python worker spends on words, on pieces of other texts, and on token pairs.
+WORD_BYTES, PIECE_BYTES, PAIR_BYTES = 144 << 20, 32 << 20, 64 << 20
 
+#: Fixed value: the pattern whose matches begin at every space that has other characters beside it.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space behind white space and before white space or the end.
 OPEN_SPACE = re.compile(r" (?=\s|\Z)(?<=\s )").search
 
 
-class Recent(dict):
-    """A bounded memory: when it is full, what wasn't asked for lately goes."""
-
-    def __init__(self, make, size: int = KEPT):
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        if not isinstance(key, str) or len(key) <= 64:
-            self[key] = value
-        return value
-
-
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -67,31 +49,32 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
-        self.token = {i: b for b, i in ranks.items()}
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"no token for the bytes {missing}")
+        self.token = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self.reachable: dict[bytes, int] = {}
-        for b, i in sorted(ranks.items(), key=lambda x: x[1]):
+        # Ids of the two halves, -1 where no merge makes the token.
+        self.left, self.right = (array("i", [-1]) * (max(self.token) + 1) for _ in range(2))
+        self.merged: dict[int, int] = {}
+        self.reachable = array("i")
+        for i, b in sorted(self.token.items()):
             if len(b) > 1:
                 halves = self._halves(b, i)
                 if halves is None:
                     continue
-                self.halves[i] = halves
-                self.merged[halves] = i
-            self.reachable[b] = i
+                self.left[i], self.right[i] = halves
+                self.merged[halves[0] << 32 | halves[1]] = i
+            self.reachable.append(i)
         self._forget()
 
     def _forget(self) -> None:
-        self.fits = Recent(self._neighbours, 8 * KEPT)
-        self.pieces = Recent(self.encode_piece)
-        self.words = Recent(lambda w: tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split_text(w)))))
+        self.fits = Memory(self._neighbours, PAIR_BYTES)
+        self.words = Memory(lambda w: b"".join(map(self._piece, self.split_text(w))), WORD_BYTES)
+        self.pieces = Memory(self._piece, PIECE_BYTES)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("ranks", "pattern", "token", "longest", "halves", "merged", "reachable")}
+        return {k: v for k, v in self.__dict__.items() if k in ("ranks", "pattern", "token", "longest", "left", "right", "merged", "reachable")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -102,9 +85,9 @@ class Vocabulary:
         """Finds the reachable tokens that end at each place, the longest first."""
         import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for b, i in self.reachable.items():
-            found.add_word(b.decode("latin-1"), (len(b), i))
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i in self.reachable:
+            found.add_word(self.token[i].decode("latin-1"), i)
         found.make_automaton()
         return found
 
@@ -127,22 +110,22 @@ class Vocabulary:
 
     def neighbours(self, a: int, b: int) -> bool:
         """May token ``b`` follow token ``a`` in an encoding?"""
-        return self.fits[a, b]
+        return self.fits[a << 32 | b]
 
-    def _neighbours(self, pair: tuple[int, int]) -> bool:
-        a, b = pair
+    def _neighbours(self, pair: int) -> bool:
+        a, b = pair >> 32, pair & 0xFFFFFFFF
         left, right, gone = a, b, len(self.token) + len(self.merged) + 1
         left_end = right_end = gone  # when the border tokens were merged into larger ones
         while True:
-            across = self.merged.get((left, right))
+            across = self.merged.get(left << 32 | right)
             # Of equal merges the left one comes first.
             if across is not None and across < left_end and across <= right_end:
                 return False
-            x, y = self.halves.get(left), self.halves.get(right)
-            if x is not None and (y is None or left > right):
-                left, left_end = x[1], left
-            elif y is not None:
-                right, right_end = y[0], right
+            x, y = self.right[left], self.left[right]
+            if x >= 0 and (y < 0 or left > right):
+                left, left_end = x, left
+            elif y >= 0:
+                right, right_end = y, right
             else:
                 return True
 
@@ -151,20 +134,32 @@ class Vocabulary:
         whole = self.ranks.get(raw)
         return (whole,) if whole is not None else tuple(PrefixTable(self, raw).ids())
 
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.encode_piece(piece)).tobytes()
+
+    @cached_property
+    def sizes(self) -> array:
+        """Bytes of each token."""
+        out = array("i", [0]) * len(self.left)
+        for i, b in self.token.items():
+            out[i] = len(b)
+        return out
+
     def encode(self, text: str) -> array:
         """The ids of a text, each match of the pattern encoded for itself.
 
-        A match begins at every space that has other characters on one of its
-        sides, so words are looked up whole; texts with other spaces are split
-        by the pattern alone.
+        With the pattern SPACED words are looked up whole, as a match begins at every
+        space; texts with other spaces, and other patterns, are split by the pattern.
         """
-        if OPEN_SPACE(text) is None:
+        if self.pattern == SPACED and OPEN_SPACE(text) is None:
             first, *rest = text.split(" ")
             get = self.words.__getitem__
-            found = chain(get(first), chain.from_iterable([get(" " + w) for w in rest]))
+            raw = get(first) + b"".join([get(" " + w) for w in rest])
         else:
-            found = chain.from_iterable(map(self.pieces.__getitem__, self.split_text(text)))
-        return array("i", list(found))
+            raw = b"".join(map(self.pieces.__getitem__, self.split_text(text)))
+        ids = array("i")
+        ids.frombytes(raw)
+        return ids
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -183,15 +178,15 @@ class PrefixTable:
         From ``behind`` on they may run into those of ``old``, counted from the end.
         """
         v, last, size = self.v, self.last, len(self.data)
-        fits, moved, same = v.fits, size + 1 - len(old), 0
+        fits, sizes, moved, same = v.fits, v.sizes, size + 1 - len(old), 0
         last.extend([-1] * (size + 1 - len(last)))
         at = max(0, begin - v.longest)
-        for end, (length, token) in v.matches.iter(self.data.decode("latin-1"), at):
+        for end, token in v.matches.iter(self.data.decode("latin-1"), at):
             end += 1
             if end < begin or last[end] >= 0:
                 continue
-            start = end - length
-            if start == 0 or fits[last[start], token]:
+            start = end - sizes[token]
+            if start == 0 or fits[last[start] << 32 | token]:
                 last[end] = token
                 if end > behind >= 0:
                     same = same + 1 if old[end - moved] == token else 0
@@ -225,28 +220,37 @@ class PrefixTable:
         return out[::-1]
 
 
-def _added(df: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` {kind}"])
+def _added(df: DataFrame, **columns: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{k}` {v}" for k, v in columns.items())])
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the token ids of a text, special tokens excluded; other columns stay, one named ``out`` is replaced."""
-    df = df.drop(out)
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the token ids of a text, special tokens excluded, and, where ``decoded`` is named,
+    the bytes that these ids stand for; other columns stay, those of these names are replaced.
+
+    Both come from one pass, so that a core needs one Python worker.
+    """
+    added = {out: "array<int>"} | ({decoded: "binary"} if decoded else {})
+    df = df.drop(*added)
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
-            ids, ends = array("i"), array("i", [0])
+            ids, ends, raw = array("i"), array("i", [0]), []
             for t in batch.column(text).to_pylist():
-                ids.extend(v.encode(t or ""))
+                found = v.encode(t or "")
+                ids.extend(found)
                 ends.append(len(ids))
+                if decoded:
+                    raw.append(v.decode(found))
             flat = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
             column = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
+            more = [column, pa.array(raw, pa.binary())] if decoded else [column]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
 
-    return df.mapInArrow(run, _added(df, out, "array<int>"))
+    return df.mapInArrow(run, _added(df, **added))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -262,14 +266,13 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
             raw = pa.array([b"".join(map(token, x)) for x in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, out])
 
-    return df.mapInArrow(run, _added(df, out, "binary"))
+    return df.mapInArrow(run, _added(df, **{out: "binary"}))
 
 
 def token_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    coded = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vocabulary)
-    both = decode(coded.select("doc_id", "ids"), vocabulary)
-    return both.select(
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return encode(text, vocabulary, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
