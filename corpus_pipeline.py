@@ -36,7 +36,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens and whether decoding gives the text again."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), vocabulary()), vocabulary())
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary(), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
