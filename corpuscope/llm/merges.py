@@ -34,7 +34,7 @@ from .common import Memory, small_batches, text_of
 #: What the byte-level pre-tokenizer takes as one piece.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of encoded pieces that one Python worker remembers.
-REMEMBERED = 48 << 20
+REMEMBERED = 96 << 20
 
 
 def byte_letters() -> list[str]:
@@ -64,10 +64,14 @@ class Merges:
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
         ids, letters = model["vocab"], byte_letters()
         self.first = [ids[c] for c in letters]
-        self.rank: dict[int, tuple[int, int]] = {}
+        # The rank of a pair of ids, and of a rank its pair and what it becomes.
+        self.rank: dict[int, int] = {}
+        self.pair, self.made = [], []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.rank.setdefault(ids[a] << 32 | ids[b], (rank, ids[a + b]))
+            self.pair.append(ids[a] << 32 | ids[b])
+            self.made.append(ids[a + b])
+            self.rank.setdefault(self.pair[-1], rank)
         self.added = {t["content"]: t["id"] for t in added}
         byte_of = {c: b for b, c in enumerate(letters)}
         self.token: dict[int, bytes] = {}
@@ -80,7 +84,7 @@ class Merges:
         self.pieces = Memory(self.encode_piece, REMEMBERED)
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("first", "rank", "added", "token")}
+        return {k: self.__dict__[k] for k in ("first", "rank", "pair", "made", "added", "token")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -99,32 +103,36 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """The symbols that stay when no merge is left."""
-        n, rank = len(ids), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        n, rank, pairs, made = len(ids), self.rank, self.pair, self.made
+        # An entry is a rank and the place of its left symbol, in one number.
         queue = []
         for i in range(n - 1):
-            pair = ids[i] << 32 | ids[i + 1]
-            if pair in rank:
-                queue.append((rank[pair][0], i, pair))
+            r = rank.get(ids[i] << 32 | ids[i + 1])
+            if r is not None:
+                queue.append(r << 32 | i)
+        if not queue:
+            return ids
         heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, pair = heappop(queue)
+            top = heappop(queue)
+            i, r = top & 0xFFFFFFFF, top >> 32
             j = after[i]
             # Stale: a symbol of the pair is gone or has grown since.
-            if j >= n or ids[i] << 32 | ids[j] != pair:
+            if j >= n or ids[i] << 32 | ids[j] != pairs[r]:
                 continue
-            ids[i], ids[j] = rank[pair][1], -1
+            ids[i], ids[j] = made[r], -1
             after[i] = behind = after[j]
             if behind < n:
                 before[behind] = i
-                pair = ids[i] << 32 | ids[behind]
-                if pair in rank:
-                    heappush(queue, (rank[pair][0], i, pair))
+                r = rank.get(ids[i] << 32 | ids[behind])
+                if r is not None:
+                    heappush(queue, r << 32 | i)
             ahead = before[i]
             if ahead >= 0:
-                pair = ids[ahead] << 32 | ids[i]
-                if pair in rank:
-                    heappush(queue, (rank[pair][0], ahead, pair))
+                r = rank.get(ids[ahead] << 32 | ids[i])
+                if r is not None:
+                    heappush(queue, r << 32 | ahead)
         return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: str) -> bytes:

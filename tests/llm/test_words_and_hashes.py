@@ -218,11 +218,11 @@ def test_merges_take_the_lowest_rank_first():
         ids = [v.first[b] for b in "".join(rng.choices("theandingoer", k=rng.randint(1, 40))).encode()]
         want = list(ids)
         while True:
-            options = [(v.rank[a << 32 | b][0], i) for i, (a, b) in enumerate(zip(want, want[1:])) if a << 32 | b in v.rank]
+            options = [(v.rank[a << 32 | b], i) for i, (a, b) in enumerate(zip(want, want[1:])) if a << 32 | b in v.rank]
             if not options:
                 break
             i = min(options)[1]
-            want[i : i + 2] = [v.rank[want[i] << 32 | want[i + 1]][1]]
+            want[i : i + 2] = [v.made[v.rank[want[i] << 32 | want[i + 1]]]]
         assert v.merge(ids) == want
 
 
