@@ -7,9 +7,9 @@ repeated windows go, and overlapping windows merge into maximal intervals.
 The windows of a block of documents are sorted by hash. What the block itself shows
 to be repeated is settled there; of every hash only the windows of the block's
 smallest document go on, so a passage that a third of the documents hold reaches
-its bucket once per block. Buckets are cut by hash, with their number taken from
-the data, and send back the places that a smaller document of another block
-covers. 56 bits of a hash and its bucket, 58 to 64 in all, are compared.
+its range of hashes once per block. Where a smaller document of another block covers
+a window, its range sends the place back to the block, and the block's list of
+documents cuts its places by document. 80 bits of a window are compared.
 
 Cases: null texts have no words; texts shorter than a window keep all words; a null
 id counts as larger than any; rows that repeat an id don't cover each other, and
@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
 from .common import small_batches, stored, text_of, whole, words
+from .ranges import dealt_again
 
 WIDTH = 13
 #: Words of one block.
@@ -35,6 +37,22 @@ BLOCK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 #: What tells rows of one id apart: hash and octets of the text.
 ROW = np.dtype([("row", "<i8"), ("octets", "<i4")])
+#: A row of a block, as its range needs it and as its result does.
+DOCUMENT = np.dtype([("id", "<i8"), ("start", "<u4"), *ROW.descr])
+#: What a row between the steps holds: a range's segments, a block's documents or its repeated places.
+SEGMENTS, DOCUMENTS, PLACES = 0, 1, 2
+SENT = pa.schema([("range", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("octets", pa.int32()), ("data", pa.binary())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 def _spans(places: np.ndarray) -> bytes:
@@ -44,54 +62,71 @@ def _spans(places: np.ndarray) -> bytes:
     return np.stack([places[first], number], 1).astype(np.uint32).tobytes()
 
 
-def _rows(doc: np.ndarray, place: np.ndarray, ids, rows) -> Iterator[tuple[int, int, int, bytes]]:
-    """For each document among (doc, place) its id, row and places."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    borders = [*packed.runs(doc), len(doc)]
-    for a, b in zip(borders, borders[1:]):
-        yield int(ids[doc[a]]), *rows[doc[a]].tolist(), _spans(place[a:b])
+def sort_hashes(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """An order in which equal (h, more) are neighbours."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], more[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((more, h))
+    return order
+
 
+def _covered(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of sorted windows, those that also start in a document of a smaller id."""
+    if not len(h):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])
+    begin = np.flatnonzero(new)
+    smallest = np.minimum.reduceat(ids, begin)
+    return ids > np.repeat(smallest, np.diff([*begin, len(h)]))
 
-def _block(ids, rows, sizes, flat, width: int, bits: int) -> list[tuple[int, int, int, int, bytes]]:
-    """(bucket, id, row, octets, data): negative buckets are repeated places, others hashes to compare."""
+
+def settle(block: int, documents: np.ndarray, sizes, flat, width: int) -> Iterator[tuple]:
+    """SENT rows of one block: its documents, its repeated places and the segments to compare."""
     at = packed.inside(sizes, width).astype(np.uint32)
-    h = packed.rolling(flat, width)[at]
-    del flat
-    order = np.argsort(h, kind="stable").astype(np.uint32)
-    h, at = h[order], at[order]
+    h, more = packed.rolling(flat, width)[at], packed.rolling_more(flat, width)[at]
+    order = sort_hashes(h, more).astype(np.uint32)
+    h, more, at = h[order], more[order], at[order]
     del order
-    ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, at, "right").astype(np.int32)
-    own = ids[doc]
-    begin = packed.runs(h)
-    smallest = np.repeat(np.minimum.reduceat(own, begin), np.diff([*begin, len(h)])) if len(h) else own
-    here = own > smallest
-    del own, smallest
-    starts = ends - sizes
-    out = [(-1 - (i & 1023), i, *rest) for i, *rest in _rows(doc[here], (at - starts[doc])[here], ids, rows)]
-    h, at, doc = h[~here], at[~here], doc[~here]
-    borders = packed.slices(h, bits)
-    for bucket in np.flatnonzero(np.diff(borders)):
-        part = slice(borders[bucket], borders[bucket + 1])
-        used, which = np.unique(doc[part], return_inverse=True)
-        head = np.array([len(used), part.stop - part.start], np.int64)
-        out.append((int(bucket), 0, 0, 0, b"".join(x.tobytes() for x in (
-            head, ids[used], starts[used].astype(np.int64), rows[used], at[part].astype(np.uint32),
-        )) + packed.pack(h[part], bits)))
+    ids = documents["id"][np.searchsorted(documents["start"], at, "right") - 1]
+    here = _covered(h, more, ids)
+    del ids
+    yield -1 - block, DOCUMENTS, block, documents.tobytes()
+    if here.any():
+        yield -1 - block, PLACES, block, at[here].tobytes()
+    owners = np.empty(len(documents), packed.OWNER)
+    owners["id"], owners["start"] = documents["id"], documents["start"]
+    for where, data in packed.deal(block, owners, h[~here], more[~here], at[~here], 0, packed.FIRST):
+        yield where, SEGMENTS, block, data
+
+
+def compare(rows) -> list[tuple]:
+    """(block, places) that smaller documents of other blocks cover, of the rows of one range."""
+    parts = [s for data in rows for s in packed.segments(data)]
+    h, more = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+    ids = np.concatenate([p[1]["id"][np.searchsorted(p[1]["start"], p[4], "right") - 1] for p in parts])
+    order = sort_hashes(h, more)
+    hit = np.sort(order[_covered(h[order], more[order], ids[order])])
+    del h, more, ids, order
+    ends = np.cumsum([len(p[4]) for p in parts])
+    cut = np.searchsorted(hit, [0, *ends])
+    return [
+        (p[0], p[4][hit[a:b] - (end - len(p[4]))].tobytes()) for p, end, a, b in zip(parts, ends, cut, cut[1:]) if b > a
+    ]
+
+
+def by_document(documents: np.ndarray, places: np.ndarray) -> list[tuple]:
+    """FOUND rows of the documents of a block that have repeated places."""
+    places = np.sort(places).astype(np.int64)
+    doc = np.searchsorted(documents["start"], places, "right") - 1
+    borders = [*packed.runs(doc), len(doc)]
+    out = []
+    for a, b in zip(borders, borders[1:]):
+        d = documents[doc[a]]
+        out.append((int(d["id"]), int(d["row"]), int(d["octets"]), _spans(places[a:b] - int(d["start"]))))
     return out
 
 
-def _unblock(data: bytes):
-    docs, n = np.frombuffer(data, np.int64, 2)
-    ids = np.frombuffer(data, np.int64, docs, 16)
-    starts = np.frombuffer(data, np.int64, docs, 16 + 8 * docs)
-    rows = np.frombuffer(data, ROW, docs, 16 + 16 * docs)
-    at = np.frombuffer(data, np.uint32, n, 16 + 28 * docs).astype(np.int64)
-    doc = np.searchsorted(starts, at, "right") - 1
-    return ids, rows, doc, at - starts[doc], packed.unpack(data[16 + 28 * docs + 4 * n :])
-
-
 def _row_of(body: Column) -> list[Column]:
     return [F.xxhash64(body).alias("row"), F.octet_length(body).alias("octets")]
 
@@ -100,70 +135,69 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
     """id, row, octets and data: binary runs (first word, number) at which repeated windows start."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
-    bits = packed.bucket_bits(size / 6)
+    bits = packed.range_bits(size / 6)
     body = text_of(text)
     hashed = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"),
         *_row_of(body),
         F.transform(words(body), lambda w: F.xxhash64(w)).alias("w"),
     )
-    schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("octets", pa.int32()), ("data", pa.binary())])
-
-    def batch_of(found) -> pa.RecordBatch:
-        columns = list(zip(*found)) if found else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n = 0
+        number = TaskContext.get().partitionId() << 32
 
         def settled():
-            ids, rows, sizes, flat = (np.concatenate(x) for x in zip(*held))
+            documents, sizes, flat = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            found = _block(ids, rows, sizes, flat, width, bits)
-            del flat
+            documents["start"] = np.cumsum(sizes) - sizes
+            rows = []
             # Few rows at a time become Arrow's, so the block isn't held twice.
-            while found:
-                yield batch_of(found[-64:])
-                del found[-64:]
+            for row in settle(number, documents, sizes, flat, width):
+                rows.append(row)
+                if len(rows) == 16:
+                    yield from _table(rows, SENT).to_batches()
+                    rows.clear()
+            if rows:
+                yield from _table(rows, SENT).to_batches()
 
+        n = 0
         for b in batches:
             lists = b.column("w")
+            documents = np.empty(b.num_rows, DOCUMENT)
+            for c in ("id", *ROW.names):
+                documents[c] = b.column(c).to_numpy()
             flat = lists.flatten().to_numpy().view(np.uint64)
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            rows = np.empty(b.num_rows, ROW)
-            for c in ROW.names:
-                rows[c] = b.column(c).to_numpy()
-            held.append((b.column("id").to_numpy(), rows, sizes, flat))
+            held.append((documents, np.diff(lists.offsets.to_numpy()).astype(np.int64), flat))
             n += len(flat)
             if n >= block:
                 yield from settled()
-                n = 0
+                n, number = 0, number + 1
         if held:
             yield from settled()
 
-    def compare(group: pa.Table) -> pa.Table:
-        if not group.num_rows or group.column("bucket")[0].as_py() < 0:
-            return group.select(["id", "row", "octets", "data"])
-        parts = [_unblock(x.as_py()) for x in group.column("data")]
-        h = np.concatenate([p[4] for p in parts])
-        order = np.argsort(h)
-        h = h[order]
-        ids = np.concatenate([p[0][p[2]] for p in parts])[order]
-        begin = packed.runs(h)
-        smallest = np.repeat(np.minimum.reduceat(ids, begin), np.diff([*begin, len(h)]))
-        hit = np.sort(order[ids > smallest])
-        del h, ids, order, smallest
-        found, start = [], 0
-        for p in parts:
-            mine = hit[(hit >= start) & (hit < start + len(p[4]))] - start
-            found += _rows(p[2][mine], p[3][mine], p[0], p[1])
-            start += len(p[4])
-        columns = list(zip(*found)) if found else [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types[1:])], schema=pa.schema(list(schema)[1:]))
-
-    sent = hashed.mapInArrow(blocks, "bucket int, id long, row long, octets int, data binary")
-    return sent.groupBy("bucket").applyInArrow(compare, "id long, row long, octets int, data binary")
+    sent = hashed.mapInArrow(blocks, _ddl(SENT))
+    if bits > packed.FIRST:
+        segments = F.col("kind") == SEGMENTS
+        again = dealt_again(sent.filter(segments).select("range", "block", "data"), bits, size / 6)
+        again = again.select("range", F.lit(SEGMENTS).alias("kind"), F.lit(-1).cast("long").alias("block"), "data")
+        sent = again.unionByName(sent.filter(~segments))
+
+    def compared(group: pa.Table) -> pa.Table:
+        """Segments become places; what belongs to a block passes."""
+        if group.num_rows and group.column("kind")[0].as_py() != SEGMENTS:
+            return group.select(["kind", "block", "data"])
+        found = [(PLACES, *x) for x in compare(x.as_py() for x in group.column("data"))] if group.num_rows else []
+        return _table(found, pa.schema(list(SENT)[1:]))
+
+    def cut(group: pa.Table) -> pa.Table:
+        kinds, data = group.column("kind").to_pylist(), group.column("data")
+        documents = [np.frombuffer(x.as_py(), DOCUMENT) for k, x in zip(kinds, data) if k == DOCUMENTS]
+        places = [np.frombuffer(x.as_py(), np.uint32) for k, x in zip(kinds, data) if k == PLACES]
+        return _table(by_document(documents[0], np.concatenate(places)) if places else [], FOUND)
+
+    back = sent.groupBy("range").applyInArrow(compared, _ddl(pa.schema(list(SENT)[1:])))
+    return back.groupBy("block").applyInArrow(cut, _ddl(FOUND))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -173,7 +207,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     added = {"n_words": "long", "n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept_text": "string"}
     docs = docs.drop(*added)
     found = stored(repeated_places(docs, key, text, width), "repeated-places")
-    by_row = found.groupBy("id", *ROW.names).agg(F.collect_list("data").alias("__places"))
+    # Equal rows have equal places.
+    by_row = found.groupBy("id", *ROW.names).agg(F.first("data").alias("__places"))
     ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
     tagged = docs.select(whole(docs), ids.alias("id"), *_row_of(text_of(text)))
     both = tagged.join(by_row, ["id", *ROW.names], "left").select("__doc.*", "__places")
@@ -194,7 +229,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
                     spans.append([])
                     kept.append(" ".join(ws))
                     continue
-                runs = np.concatenate([np.frombuffer(p, np.uint32).reshape(-1, 2) for p in places]).astype(np.int64)
+                runs = np.frombuffer(places, np.uint32).reshape(-1, 2).astype(np.int64)
                 edge = np.zeros(len(ws) + 1, np.int64)
                 np.add.at(edge, runs[:, 0], 1)
                 np.add.at(edge, runs[:, 0] + runs[:, 1] + width - 1, -1)
