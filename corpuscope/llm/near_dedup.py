@@ -1,11 +1,12 @@
 """7. Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the weighted set of its five-word shingles, weight = count * idf.
-Document counts are taken over all documents; shingles in fewer than one of COMMON
-documents share the largest idf, so only the common ones, at most COMMON times the
-mean number of shingles of a document, have to be known when documents are read.
+A document is the weighted set of its five-word shingles, weight = count * idf, with
+idf = ln(1 + N / df) over the N different texts. All shingles are counted: blocks of
+texts send their shingles to ranges of hashes, and a range sends back the number of
+every shingle that other blocks hold as well, so a block knows the weights of its texts
+without a table of all shingles anywhere.
 
-Every document gets BANDS * ROWS consistent weighted samples, with the random draws
+Every text gets BANDS * ROWS consistent weighted samples, with the random draws
 of a shingle taken from fixed tables. Documents that agree in all samples of a band
 are candidates, and the weighted Jaccard similarity of their whole shingle sets
 decides. Equal word sequences are one text from the start.
@@ -17,7 +18,7 @@ the links that join classes as output. So no link that changes a class is lost a
 the candidates. Classes are the connected
 components of the links, found by contraction of the link table.
 
-Cases: null texts count as empty; texts of fewer than five words are one shingle;
+Cases: ids are numbers, or cast to them; null texts count as empty; texts of fewer than five words are one shingle;
 all texts without words are one class; a null id is larger than any; every row
 gives a row, rows that repeat an id too; a class is named by its smallest id.
 """
@@ -28,16 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
 from .common import small_batches, stored, text_of, whole, words
+from .ranges import dealt_again
 
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Shingles in less than one of so many documents all count as rare.
-COMMON = 200
 #: Words of one block, and bits of a shingle's hash.
 BLOCK, BITS = 1 << 20, 44
 #: Bytes of shingle sets of one tile.
@@ -95,97 +96,165 @@ class Sampler:
         return out
 
 
-def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    body = text_of(text)
-    return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(body).alias("row"),
-        F.transform(words(body), lambda w: F.xxhash64(w)).alias("w"),
-    )
+def texts_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, row, key) of every row, and (key, first, t) of every different text.
 
+    Equal words in equal order are one text; t has one space between words, and first
+    is its smallest (id, row).
+    """
+    body = text_of(text)
+    one = F.array_join(words(body), " ")
+    ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id")
+    rows = docs.select(ids, F.xxhash64(body).alias("row"), one.alias("t"))
+    rows = rows.select("id", "row", F.unhex(F.md5(F.col("t").cast("binary"))).alias("key"), "t")
+    texts = rows.groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.first("t").alias("t"))
+    return rows.drop("t"), texts
+
+
+#: A text of a block: its number, key, first row, and how many shingles it has.
+TEXT = np.dtype([("rep", "<i8"), ("key", "S16"), ("id", "<i8"), ("row", "<i8"), ("shingles", "<u4")])
+#: Bits of a number for the texts of a block, and for the blocks of a task.
+TEXT_BITS, TURN_BITS = 20, 20
+
+
+def pack_block(block: int, keys, ids, rows, sizes: np.ndarray, flat: np.ndarray) -> bytes:
+    """Texts of a block and their shingles: hashes in six bytes, counts where they aren't 1."""
+    doc, h, tf = shingles(sizes, flat)
+    texts = np.empty(len(sizes), TEXT)
+    texts["rep"] = (block << TEXT_BITS) + np.arange(len(sizes))
+    texts["key"], texts["id"], texts["row"] = keys, ids, rows
+    texts["shingles"] = np.bincount(doc, minlength=len(sizes))
+    often = np.flatnonzero(tf > 1)
+    head = np.array([len(texts), len(h), len(often)], np.int64)
+    low = h.view(np.uint8).reshape(-1, 8)[:, :6]
+    return b"".join(x.tobytes() for x in (head, texts, often.astype(np.uint32), tf[often].astype(np.uint32), low))
+
+
+def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """texts, shingles (sorted inside a text) and their counts."""
+    n, size, often = np.frombuffer(data, np.int64, 3).tolist()
+    place = 24
+    texts = np.frombuffer(data, TEXT, n, place)
+    place += n * TEXT.itemsize
+    at = np.frombuffer(data, np.uint32, often, place)
+    place += 4 * often
+    tf = np.ones(size, np.int64)
+    tf[at] = np.frombuffer(data, np.uint32, often, place)
+    place += 4 * often
+    return texts, packed.wide(data, place, size, 6), tf
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(block, data): the different texts, packed."""
 
-def _held(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    """Blocks of documents: the named columns, sizes and the words end to end."""
-    held, n = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << TURN_BITS
+        held: list[tuple] = []
 
-    def block():
-        columns = list(zip(*held))
-        return [pa.concat_arrays(c) for c in columns[:-2]], np.concatenate(columns[-2]), np.concatenate(columns[-1])
+        def block():
+            keys, ids, rows, sizes, flat = (np.concatenate(x) for x in zip(*held))
+            data = pack_block(number, keys, ids, rows, sizes, flat)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
 
-    for b in batches:
-        lists = b.column("w")
-        flat = lists.flatten().to_numpy().view(np.uint64)
-        held.append((*(b.column(x) for x in names), np.diff(lists.offsets.to_numpy()).astype(np.int64), flat))
-        n += len(flat)
-        # A block has fewer documents than the bits beside a shingle's hash can tell apart.
-        if n >= BLOCK or sum(len(x[-2]) for x in held) > 1 << 18:
+        for b in batches:
+            # A block has fewer texts than the bits beside a shingle's hash can tell apart.
+            for start in range(0, b.num_rows, 1 << 16):
+                some = b.slice(start, 1 << 16)
+                lists = some.column("w")
+                keys = np.array(some.column("key").to_pylist(), "S16")
+                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                flat = lists.flatten().to_numpy().view(np.uint64)
+                held.append((keys, some.column("id").to_numpy(), some.column("row").to_numpy(), sizes, flat))
+                if sum(len(x[-1]) for x in held) >= BLOCK or sum(len(x[0]) for x in held) > 1 << 17:
+                    yield block()
+                    held.clear()
+                    number += 1
+        if held:
             yield block()
-            held, n = [], 0
-    if held:
-        yield block()
-
-
-def common_shingles(hashed: DataFrame, n_docs: int, bits: int) -> dict[int, int]:
-    """Document counts of the shingles that are in at least one of COMMON documents."""
-    bits = max(bits, BITS - 40)
-    shift = BITS - bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sizes, flat in _held(batches, []):
-            h = np.sort(shingles(sizes, flat)[1])
-            first = packed.runs(h)
-            times = np.diff([*first, len(h)])
-            h = h[first]
-            borders = np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(shift))
-            found = []
-            for bucket in np.flatnonzero(np.diff(borders)):
-                part, t = h[borders[bucket] : borders[bucket + 1]], times[borders[bucket] : borders[bucket + 1]]
-                second = np.bincount((part >> np.uint64(32) & np.uint64((1 << max(shift - 32, 0)) - 1)).astype(np.int64), minlength=256)
-                many = np.flatnonzero(t > 1)
-                found.append((int(bucket), b"".join(x.tobytes() for x in (
-                    np.array([len(part), len(many)], np.uint32), second.astype(np.uint32), many.astype(np.uint32),
-                    t[many].astype(np.uint32), part.astype(np.uint32),
-                ))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["bucket", "data"]
-            )
+
+    hashed = texts.select("key", "first.id", "first.row", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w"))
+    return hashed.mapInArrow(run, "block long, data binary")
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Shingles as hashes of 64 bits, in the same order."""
+    return h << np.uint64(64 - BITS)
+
+
+def shared_counts(blocks: DataFrame, entries: float) -> DataFrame:
+    """(block, counts): the shingles of a block that others have too, by their place among the
+    block's different shingles, with the number of texts that have them."""
+    bits = packed.range_bits(entries)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, data in zip(b.column("block").to_pylist(), b.column("data")):
+                own, times = np.unique(unpack_block(data.as_py())[1], return_counts=True)
+                at = np.arange(len(own), dtype=np.uint32)
+                found = list(packed.deal(block, packed.NOBODY, _spread(own), times, at, 0, packed.FIRST))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w for w, _ in found], pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array([d for _, d in found], pa.binary())],
+                    ["range", "block", "data"],
+                )
+
+    sent = blocks.mapInArrow(send, "range long, block long, data binary")
+    if bits > packed.FIRST:
+        sent = dealt_again(sent, bits, entries)
 
     def total(group: pa.Table) -> pa.Table:
-        hs, ts = [], []
-        for x in group.column("data"):
-            a = np.frombuffer(x.as_py(), np.uint32)
-            n, many = int(a[0]), int(a[1])
-            t = np.ones(n, np.int64)
-            t[a[258 : 258 + many]] = a[258 + many : 258 + 2 * many]
-            hs.append(a[258 + 2 * many :].astype(np.uint64) | np.repeat(np.arange(256, dtype=np.uint64), a[2:258]) << np.uint64(32))
-            ts.append(t)
-        h, t = np.concatenate(hs), np.concatenate(ts)
-        order = np.argsort(h)
-        h, t = h[order], t[order]
-        first = packed.runs(h)
-        df = np.add.reduceat(t, first) if len(first) else t
-        keep = df * COMMON >= n_docs
-        full = h[first][keep] | np.uint64(group.column("bucket")[0].as_py()) << np.uint64(shift)
-        return pa.table({"h": pa.array(full.astype(np.int64)), "df": pa.array(df[keep], pa.int64())})
-
-    sent = hashed.select("w").mapInArrow(count, "bucket int, data binary")
-    # At most COMMON rows for each shingle of a document of mean length.
-    return {r.h: r.df for r in sent.groupBy("bucket").applyInArrow(total, "h long, df long").collect()}
-
-
-class Weights:
-    def __init__(self, df: dict[int, int], n_docs: int):
-        self.h = np.array(sorted(df), np.uint64)
-        share = np.array([df[int(h)] for h in self.h], float) / max(n_docs, 1)
-        self.idf = np.log1p(1 / (share + 1 / COMMON))
-
-    def of(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
-        idf = np.full(len(shingle), np.log1p(COMMON))
-        if len(self.h):
-            at = np.minimum(np.searchsorted(self.h, shingle), len(self.h) - 1)
-            known = self.h[at] == shingle
-            idf[known] = self.idf[at[known]]
-        return count * idf
+        found = counted(x.as_py() for x in group.column("data"))
+        return pa.table({"block": pa.array([b for b, _ in found], pa.int64()), "data": pa.array([d for _, d in found], pa.binary())})
+
+    back = sent.select("range", "data").groupBy("range").applyInArrow(total, "block long, data binary")
+    # At most a row per range and block, of as many entries as the block has.
+    return back.groupBy("block").agg(F.collect_list("data").alias("counts"))
+
+
+def counted(rows) -> list[tuple[int, bytes]]:
+    """(block, places and sums) of the hashes of one range that several blocks hold."""
+    parts = [s for data in rows for s in packed.segments(data)]
+    if not parts:
+        return []
+    h = np.concatenate([p[2] for p in parts])
+    times = np.concatenate([p[3] for p in parts]).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    first = packed.runs(h[order])
+    repeats = np.diff([*first, len(h)])
+    sums = np.empty(len(h), np.int64)
+    sums[order] = np.repeat(np.add.reduceat(times[order], first), repeats)
+    several = np.empty(len(h), bool)
+    several[order] = np.repeat(repeats > 1, repeats)
+    out, end = [], 0
+    for block, _, _, _, at in parts:
+        mine = slice(end, end + len(at))
+        end += len(at)
+        if several[mine].any():
+            out.append((block, pack_counts(at[several[mine]], sums[mine][several[mine]])))
+    return out
+
+
+def pack_counts(at: np.ndarray, sums: np.ndarray) -> bytes:
+    """Rising places by their steps, and sums."""
+    step, steps = packed.narrow(np.diff(at))
+    size, numbers = packed.narrow(sums)
+    return np.array([len(at), at[0], step, size], np.uint32).tobytes() + steps + numbers
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, first, step, size = np.frombuffer(data, np.uint32, 4).tolist()
+    steps = packed.wide(data, 16, n - 1, step)
+    at = np.cumsum(np.concatenate([np.array([first], np.uint64), steps]), dtype=np.uint64).astype(np.int64)
+    return at, packed.wide(data, 16 + (n - 1) * step, n, size).astype(np.int64)
+
+
+def weights(h: np.ndarray, tf: np.ndarray, counts: list[bytes], n_texts: int) -> np.ndarray:
+    """Count * ln(1 + N / df) of the shingles of a block."""
+    _, which, df = np.unique(h, return_inverse=True, return_counts=True)
+    df = df.astype(np.int64)
+    for data in counts or []:
+        at, sums = unpack_counts(data)
+        df[at] = sums
+    return tf * np.log1p(n_texts / df)[which]
 
 
 def similarity(h1, w1, h2, w2) -> float:
@@ -200,48 +269,52 @@ def similarity(h1, w1, h2, w2) -> float:
     return float(common / (w1.sum() + w2.sum() - common))
 
 
-def _signatures(hashed: DataFrame, weights, bands: int, rows: int) -> DataFrame:
-    """id, row, text key and band hashes of every row."""
+def _signatures(blocks: DataFrame, n_texts: int, bands: int, rows: int) -> DataFrame:
+    """rep, key, id, row and band hashes of every text of (data, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import blake2b
-
         sampler = Sampler(bands * rows)
-        for (ids, row), sizes, flat in _held(batches, ["id", "row"]):
-            ends = np.cumsum(sizes)
-            keys = [blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() for e, n in zip(ends, sizes)]
-            doc, h, tf = shingles(sizes, flat)
-            per = np.bincount(doc, minlength=len(sizes))
-            some = per > 0
-            band = np.zeros((len(sizes), bands), np.uint64)
-            if some.any():
-                picked = sampler.samples(h, weights.value.of(h, tf), per[some]).reshape(-1, bands, rows)
-                mixed = np.zeros(picked.shape[:2], np.uint64)
-                for j in range(rows):
-                    mixed = (mixed ^ picked[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(29)
-                band[some] = mixed + np.arange(bands, dtype=np.uint64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, row, pa.array(keys, pa.binary()), lists], ["id", "row", "key", "bands"])
-
-    return hashed.mapInArrow(run, "id long, row long, key binary, bands array<long>")
-
-
-def _sets(candidates: DataFrame, weights) -> DataFrame:
-    """rep with its shingles and weights as bytes."""
+        for b in batches:
+            for data, counts in zip(b.column("data"), b.column("counts").to_pylist()):
+                texts, h, tf = unpack_block(data.as_py())
+                per = texts["shingles"].astype(np.int64)
+                some = per > 0
+                band = np.zeros((len(texts), bands), np.uint64)
+                if some.any():
+                    picked = sampler.samples(h, weights(h, tf, counts, n_texts), per[some]).reshape(-1, bands, rows)
+                    mixed = np.zeros(picked.shape[:2], np.uint64)
+                    for j in range(rows):
+                        mixed = (mixed ^ picked[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+                        mixed ^= mixed >> np.uint64(29)
+                    band[some] = mixed + np.arange(bands, dtype=np.uint64)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
+                # As raw bytes: text of fixed size loses zeros at its end.
+                keys = [x.tobytes() for x in np.ascontiguousarray(texts["key"]).view("V16")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(texts["rep"])), pa.array(keys, pa.binary()), pa.array(np.ascontiguousarray(texts["id"])), pa.array(np.ascontiguousarray(texts["row"])), lists],
+                    ["rep", "key", "id", "row", "bands"],
+                )
+
+    return blocks.mapInArrow(run, "rep long, key binary, id long, row long, bands array<long>")
+
+
+def _sets(blocks: DataFrame, n_texts: int) -> DataFrame:
+    """rep with its shingles and weights as bytes, of (data, counts, wanted reps)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (rep,), sizes, flat in _held(batches, ["rep"]):
-            doc, h, tf = shingles(sizes, flat)
-            w = weights.value.of(h, tf).astype(np.float32)
-            cut = np.searchsorted(doc, np.arange(len(sizes) + 1))
-            pairs = list(zip(cut, cut[1:]))
-            yield pa.RecordBatch.from_arrays(
-                [rep, pa.array([h[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([w[a:b].tobytes() for a, b in pairs], pa.binary())],
-                ["rep", "h", "w"],
-            )
+        for b in batches:
+            for data, counts, wanted in zip(b.column("data"), b.column("counts").to_pylist(), b.column("wanted").to_pylist()):
+                texts, h, tf = unpack_block(data.as_py())
+                w = weights(h, tf, counts, n_texts).astype(np.float32)
+                ends = np.cumsum(texts["shingles"].astype(np.int64))
+                places = [x & ((1 << TEXT_BITS) - 1) for x in wanted]
+                cuts = [slice(ends[k] - int(texts["shingles"][k]), ends[k]) for k in places]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wanted, pa.int64()), pa.array([h[c].tobytes() for c in cuts], pa.binary()), pa.array([w[c].tobytes() for c in cuts], pa.binary())],
+                    ["rep", "h", "w"],
+                )
 
-    return candidates.mapInArrow(run, "rep long, h binary, w binary")
+    return blocks.mapInArrow(run, "rep long, h binary, w binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -267,14 +340,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of the links (a, b): the smallest node it reaches.
 
-    In every round each node takes its smallest neighbour (or itself) and the links
-    are rewritten with these; links within one node vanish, until none is left.
+    In every round each node moves to the neighbour (or stays) that comes first in an
+    order of that round's own hash, and the links are rewritten; links within one node
+    vanish, until none is left. As no order of the nodes lasts, chains fall together
+    in few rounds, however they are numbered.
     """
     edges, moves = stored(links.select("a", "b").filter("a <> b").distinct(), "links"), []
     while edges.head(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to"))
-        moves.append(stored(best, "nearest"))
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        best = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("best"))
+        moves.append(stored(best.select("node", F.least("best", place("node"))["to"].alias("to")), "nearest"))
         left, right = (moves[-1].select(F.col("node").alias(k), F.col("to").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         edges = stored(
             edges.join(left, "a").join(right, "b").filter("x <> y")
@@ -286,7 +362,9 @@ def components(links: DataFrame) -> DataFrame:
     nodes = moves[0].select("node", F.col("to").alias("comp"))
     for step in moves[1:]:
         nodes = nodes.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return stored(nodes, "components")
+    nodes = stored(nodes, "components")
+    smallest = nodes.groupBy("comp").agg(F.min("node").alias("least"))
+    return stored(nodes.join(smallest, "comp").select("node", F.col("least").alias("comp")), "components")
 
 
 def _leaders(members: DataFrame) -> DataFrame:
@@ -371,26 +449,22 @@ def near_classes(
     """id (key, NO_ID for null), row (hash of the text), class_id and class_size of every row, stored."""
     spark = docs.sparkSession
     small_batches(spark)
-    size = docs.agg(F.sum(F.octet_length(text_of(text))).alias("b"), F.count("*").alias("n")).first()
-    hashed = _hashed(docs, key, text)
-    known = common_shingles(hashed, size.n, packed.bucket_bits((size.b or 0) / 6))
-    weights = spark.sparkContext.broadcast(Weights(known, size.n))
-    signed = stored(_signatures(hashed, weights, bands, rows), "signatures")
-
-    texts = signed.groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.first("bands").alias("bands"))
-    reps = stored(texts.select(F.monotonically_increasing_id().alias("rep"), "key", "first.id", "first.row", "bands"), "texts")
+    keyed, texts = texts_of(docs, key, text)
+    rows_ = stored(keyed, "rows")
+    blocks = stored(_blocks(texts), "blocks")
+    # The octets of the packed shingles, six each.
+    entries = (blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / 6
+    counts = stored(shared_counts(blocks, entries), "counts")
+    n_texts = rows_.agg(F.countDistinct("key")).first()[0]
+    known = blocks.join(counts, "block", "left")
+    reps = stored(_signatures(known.select("data", "counts"), n_texts, bands, rows), "texts")
+
     banded = reps.select("rep", F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = stored(banded.join(shared, "bucket"), "candidates")
-
-    wanted = members.select("rep").distinct().join(reps.select("rep", "id", "row"), "rep")
-    body = text_of(text)
-    found = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("row"), body.alias("t")
-    ).join(wanted, ["id", "row"]).dropDuplicates(["id", "row"])
-    sets = stored(
-        _sets(found.select("rep", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w")), weights), "shingle-sets"
-    )
+    # At most as many as a block has texts.
+    wanted = members.select("rep").distinct().groupBy(F.shiftright("rep", TEXT_BITS).alias("block")).agg(F.collect_list("rep").alias("wanted"))
+    sets = stored(_sets(known.join(wanted, "block").select("data", "counts", "wanted"), n_texts), "shingle-sets")
 
     leaders = stored(_leaders(members), "leaders")
     pairs = members.join(leaders, "bucket").filter("rep <> leader")
@@ -403,10 +477,10 @@ def near_classes(
 
     rep_class = reps.select("key", "rep", "id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     rep_class = rep_class.select("key", F.coalesce("comp", "rep").alias("comp"))
-    rows_ = signed.select("id", "row", "key").join(rep_class, "key")
-    classes = rows_.groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("id", "row")).alias("keeper"))
+    found = rows_.join(rep_class, "key")
+    classes = found.groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("id", "row")).alias("keeper"))
     return stored(
-        rows_.join(classes, "comp").select(
+        found.join(classes, "comp").select(
             "id", "row", "class_id", "class_size", (F.struct("id", "row") == F.col("keeper")).alias("kept")
         ),
         "near-classes",

@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -114,12 +115,22 @@ def test_prefix_table_appends_and_edits():
 
 def test_bpe_small_memory_gives_the_same(monkeypatch):
     v = queries.vocabulary()
-    small = bpe.Recent(v.encode_piece, 3)
+    small = bpe.Memory(v.encode_piece, 1000)
     for piece in ["the", " of", "xyzzy", "the", " ing", "abba", "the", "zz zz"]:
         assert small[piece] == v.encode_piece(piece)
     assert len(small) <= 4
 
 
+def test_bpe_splits_by_the_given_pattern():
+    import tiktoken
+
+    pattern = r"\p{L}+ ?|[^\p{L}]"
+    v = bpe.Vocabulary(queries.vocabulary().ranks, pattern)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=v.ranks, special_tokens={})
+    for t in TEXTS:
+        assert v.encode(t).tolist() == other.encode_ordinary(t)
+
+
 def test_bpe_odd_rows(odd, empty, library):
     got = bpe.token_digests(odd, queries.vocabulary()).collect()
     assert len(got) == len(ODD)
@@ -418,11 +429,10 @@ def brute_near(rows, least=near_dedup.SIMILAR):
         members[tuple(words(t))].append(i)
     df = collections.Counter()
     for ws, m in members.items():
-        df.update({x: len(m) for x in shingles(ws)})
-    n = len(rows)
+        df.update(set(shingles(ws)))
 
     def idf(x):
-        return math.log1p(1 / (df[x] / n + 1 / near_dedup.COMMON)) if df[x] * near_dedup.COMMON >= n else math.log1p(near_dedup.COMMON)
+        return math.log(1 + len(members) / df[x])
 
     texts = list(members)
     weighted = [{x: c * idf(x) for x, c in shingles(ws).items()} for ws in texts]
@@ -477,6 +487,36 @@ def test_near_odd_rows(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name, f=near_dedup.stored: rounds.append(name) or f(df, name))
+    links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = near_dedup.components(links)
+    assert got.count() == 401 and {r.comp for r in got.select("comp").distinct().collect()} == {0}
+    assert rounds.count("nearest") < 16
+
+
+def test_weights_are_those_of_all_texts(spark, docs, monkeypatch):
+    """Every shingle's weight, however rare, with texts in many blocks and ranges dealt twice."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(packed, "range_bits", lambda n: 9)
+    monkeypatch.setattr(packed, "DEALT", 1 << 10)
+    near_dedup.small_batches(spark)
+    rows, texts = near_dedup.texts_of(docs, "doc_id", "text")
+    blocks = near_dedup.stored(near_dedup._blocks(texts.repartition(12)), "blocks")
+    counts = near_dedup.shared_counts(blocks, 1e4)
+    n, df, seen = rows.select("key").distinct().count(), collections.Counter(), []
+    for r in blocks.join(counts, "block", "left").collect():
+        texts_, h, tf = near_dedup.unpack_block(bytes(r.data))
+        w = near_dedup.weights(h, tf, [bytes(c) for c in r.counts or []], n)
+        df.update(h.tolist())
+        seen += zip(h.tolist(), tf.tolist(), w.tolist())
+        assert texts_["shingles"].sum() == len(h)
+    assert blocks.count() > 10 and max(df.values()) > 3
+    for h, tf, w in seen:
+        assert w == pytest.approx(tf * math.log(1 + n / df[h]))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
@@ -618,7 +658,6 @@ def brute_repeats(rows, width=13):
 @pytest.mark.parametrize(("width", "block"), [(13, 500), (3, 40)])
 def test_substrings_equal_brute_force(spark, odd, empty, docs, width, block, monkeypatch):
     monkeypatch.setattr(substring_dedup.repeated_places, "__defaults__", (width, block))
-    monkeypatch.setattr(packed, "BUCKET", 1 << 9)
     rows = [(i, t) for i, t, _ in ODD] + [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     extra = odd.select("doc_id", "text", "id", "row").unionByName(docs.select("doc_id", "text").withColumns({"id": F.lit(0), "row": F.lit("")}))
     got = substring_dedup.remove_repeats(extra, width=width).collect()
@@ -642,14 +681,72 @@ def test_substrings_of_texts_with_one_hash(spark):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows)
 
 
-def test_packed_hashes_come_back():
-    import numpy as np
+def block_of(rng, n, first_id, width=13):
+    """Documents of some hundred words each, n words in all."""
+    sizes = rng.integers(100, 700, n // 400)
+    documents = np.zeros(len(sizes), substring_dedup.DOCUMENT)
+    documents["id"] = first_id + np.arange(len(sizes))
+    documents["start"] = np.cumsum(sizes) - sizes
+    flat = rng.integers(0, 1 << 63, int(sizes.sum()), dtype=np.uint64)
+    return documents, sizes, flat
+
 
+def test_segments_hold_what_was_dealt():
     rng = np.random.default_rng(2)
-    h = np.sort(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
-    for bits in (2, 5, 8, 12):
-        borders = packed.slices(h, bits)
-        for bucket in range(1 << bits):
-            part = h[borders[bucket] : borders[bucket + 1]]
-            want = part << np.uint64(bits) >> np.uint64(8) if bits < 8 else part << np.uint64(bits) >> np.uint64(8)
-            assert (packed.unpack(packed.pack(part, bits)) == want).all()
+    documents, sizes, flat = block_of(rng, 4000, 7)
+    later = int(documents["start"][5])
+    flat[later : later + 60] = flat[20:80]
+    rows = list(substring_dedup.settle(3, documents, sizes, flat, 13))
+    assert [k for _, k, _, _ in rows[:2]] == [substring_dedup.DOCUMENTS, substring_dedup.PLACES]
+    found = []
+    for where, kind, block, data in rows[2:]:
+        (number, owners, h, more, at), = packed.segments(data)
+        assert number == block == 3 and (h >> np.uint64(64 - packed.FIRST) == where).all()
+        assert (np.diff(h.astype(float)) >= 0).all()
+        doc = np.searchsorted(documents["start"], at, "right") - 1
+        own = np.searchsorted(owners["start"], at, "right") - 1
+        assert (documents["id"][doc] == owners["id"][own]).all()
+        for again, part in packed.deal_again([data], packed.FIRST, 5):
+            (_, o2, h2, m2, at2), = packed.segments(part)
+            assert ((h2 << np.uint64(packed.FIRST)) >> np.uint64(59) == again).all()
+            assert (o2["id"][np.searchsorted(o2["start"], at2, "right") - 1] == documents["id"][np.searchsorted(documents["start"], at2, "right") - 1]).all()
+            found += at2.tolist()
+    places = np.frombuffer(rows[1][3], np.uint32).tolist()
+    assert sorted(found + places) == packed.inside(sizes, 13).tolist()
+
+
+def test_bytes_of_a_word_do_not_grow_with_the_input():
+    """What travels for a word is about the same whether hashes have 64, 2,048 or 65,536 ranges."""
+    rng = np.random.default_rng(5)
+    first = collections.defaultdict(list)
+    n = 0
+    for block in range(4):
+        documents, sizes, flat = block_of(rng, 1 << 18, block << 20)
+        n += len(flat)
+        for where, kind, _, data in substring_dedup.settle(block, documents, sizes, flat, 13):
+            if kind == substring_dedup.SEGMENTS:
+                first[where].append(data)
+    row = 40  # what a row costs beside its data
+    at_first = sum(len(d) + row for ds in first.values() for d in ds) / n
+    for bits in (11, 16):
+        again = [d for ds in first.values() for _, d in packed.deal_again(ds, packed.FIRST, bits - packed.FIRST)]
+        assert sum(len(d) + row for d in again) / n < 2.5 * at_first
+    assert at_first < 18
+
+
+@pytest.mark.parametrize("bits", [8, 12])
+def test_substrings_dealt_twice(spark, docs, bits, monkeypatch):
+    monkeypatch.setattr(substring_dedup.repeated_places, "__defaults__", (13, 3000))
+    monkeypatch.setattr(packed, "range_bits", lambda n: bits)
+    monkeypatch.setattr(packed, "DEALT", 1 << 10)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = substring_dedup.remove_repeats(docs.select("doc_id", "text")).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows)
+
+
+def test_windows_that_share_64_bits_stay_apart():
+    h, more = np.array([5, 5, 5, 9], np.uint64), np.array([2, 1, 2, 1], np.uint16)
+    ids = np.array([3, 1, 8, 4])
+    order = substring_dedup.sort_hashes(h, more)
+    hit = substring_dedup._covered(h[order], more[order], ids[order])
+    assert set(order[hit].tolist()) == {2}
