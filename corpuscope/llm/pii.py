@@ -44,7 +44,8 @@ IPV4 = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"
 #: What a phone number doesn't run on into.
 OTHER = r"\d{4}-\d\d-\d\d\b|\d{3}-\d\d-\d{4}\b|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|\d{4}[ -]\d{6}[ -]\d{4}|" + f"{DOTTED_DATE}|{IPV4}"
 FORMS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    # From the first character that can belong to it, and never given back, or a long text without @ takes square time.
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + END,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}" + END
     + r"|(?<![\p{L}\p{N}+])\+\d(?:(?:[ .-](?!" + OTHER + r"))?\d){7,14}" + END

@@ -4,7 +4,7 @@ from .manifest import FAN_OUT
 from .mixing import LIMIT as MIX_LIMIT
 from .mixing import SEED
 from .variants import EVERY, FEWEST, LETTERS, SHORTEST, TIMES
-from .urls import LIMIT, RULES, Z
+from .urls import ADDRESS, LIMIT, RULES, SUFFIXES, Z
 
 OP3 = r"""
 WITH d AS (
@@ -98,11 +98,16 @@ WITH p AS (
     translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
-), h AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-    string_split(host, '.')[-1] AS suffix, count(quality)::DOUBLE AS n,
-    coalesce(sum((quality = 0 OR toxic = 1)::INT), 0)::DOUBLE AS bad
+), counted AS (
+  SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?$|\\.(:[0-9]*)?$', ''), '.') AS parts,
+    count(quality)::DOUBLE AS n, coalesce(sum((quality = 0 OR toxic = 1)::INT), 0)::DOUBLE AS bad
   FROM p LEFT JOIN labels ON page_id = doc_id GROUP BY host
+), level AS (
+  SELECT *, CASE WHEN regexp_matches(array_to_string(parts, '.'), '{ADDRESS}') THEN len(parts)
+    WHEN array_to_string(parts[-2:], '.') IN {SUFFIXES} THEN 2 ELSE 1 END AS labels
+  FROM counted
+), h AS (
+  SELECT host, array_to_string(parts[-labels - 1:], '.') AS domain, array_to_string(parts[-labels:], '.') AS suffix, n, bad FROM level
 ), d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 total AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.0 END AS p FROM s),

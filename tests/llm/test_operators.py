@@ -326,6 +326,16 @@ def test_pii_next_to_numbers(spark):
         assert r.text == text
 
 
+def test_pii_of_a_long_run_takes_seconds(spark):
+    import time
+
+    rows = [("1 " + "a" * 1_000_000,), ("1 " + "a" * 500_000 + " me@example.org " + "b." * 200_000,)]
+    frame = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: [x.kind for x in r.pii] for r in pii.pseudonymise(frame, "k").collect()}
+    assert got == {0: [], 1: ["email"]} and time.time() - start < 60
+
+
 def test_pii_odd_rows(odd, empty, docs):
     got = pii.pseudonymise(odd, "k").collect()
     assert [(r.doc_id, r.text, r.pii) for r in got] == [(i, t, []) for i, t, _ in ODD]
@@ -623,6 +633,25 @@ def test_url_parts_and_rules(spark):
     assert {r.verdict for r in urls.filter_urls(pages.filter("page_id > 4 and page_id < 6"), outcomes.limit(0)).collect()} == {"allow"}
 
 
+def test_registered_domains(spark):
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"),
+        "www.example.com": ("example.com", "com"), "example.com:8080": ("example.com", "com"), "me@x.example.com": ("example.com", "com"),
+        "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:443": ("[::1]", "[::1]"), "": ("", ""),
+        "a.github.io": ("a.github.io", "github.io"), "localhost": ("localhost", "localhost"), "example.com.": ("example.com", "com"),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string")
+    got = {r.host: (r.d, r.s) for r in rows.select("host", urls.domain_of(F.col("host")).alias("d"), urls.suffix_of(F.col("host")).alias("s")).collect()}
+    assert got == want
+
+
+def test_one_bad_host_leaves_others_under_its_suffix(spark):
+    pages = [(i, f"http://bad.co.uk/{i}") for i in range(60)] + [(100 + i, f"http://site{i}.co.uk/") for i in range(40)] + [(200, "http://new.co.uk/")]
+    outcomes = spark.createDataFrame([(i, i < 60) for i in range(140)], "page_id long, bad boolean")
+    verdict = {r.host: r.verdict for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), outcomes, ()).collect()}
+    assert verdict["bad.co.uk"] == "block" and {verdict[h] for h in verdict if h != "bad.co.uk"} == {"allow"}
+
+
 def test_reputation_shrinks(spark):
     pages = [(n, f"http://{h}/") for n, h in enumerate(["bad.x.net"] * 60 + ["good.x.net"] * 60 + ["new.x.net"] + ["few.y.net"] * 2 + ["z.q.net"] * 200)]
     outcomes = [(n, n < 60 or n in (121, 122)) for n in range(len(pages)) if n != 120]
