@@ -73,7 +73,7 @@ def main() -> None:
 
     def components():
         pc = P.pca(vocab, 5)
-        run(P.pc_loadings(vocab, pc))
+        run(P.pc_loadings(pc))
 
     timed("pca", components)
     timed("pos_distribution", lambda: run(K.pos_distribution(ann)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,3 +37,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def once(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where a session keeps what several queries need: built once, then read."""
+    mark = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{mark}"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +11,10 @@ from ..operators import lasso as X
 from ..operators import tables as V
 from ..operators.agreement import load_manual_coding
 from ..operators.corpus import form_letters
-from ..session import shared_folder, written
+from ..session import written
 from ..sources.tables import load_or_build
 from . import inputs as I
-from .catalog import query
+from .catalog import once, query
 from .sql import sql
 from .text import _HIT, PHRASES
 from .verbs import r6
@@ -225,7 +223,7 @@ FOLDS = 5
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash features of the whole corpus."""
-    return load_or_build(spark, _once(spark, sf_dir, "features"), lambda: M.hashed_features(M.word_counts(I.corpus(spark, sf_dir))))
+    return load_or_build(spark, once(spark, sf_dir, "features"), lambda: M.hashed_features(M.word_counts(I.corpus(spark, sf_dir))))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +232,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return V.stratified_split(_training(spark, sf_dir).select("comment_id", "support"), "comment_id", "support", 0.75, 1)
 
-    return load_or_build(spark, _once(spark, sf_dir, "labelled"), build)
+    return load_or_build(spark, once(spark, sf_dir, "labelled"), build)
 
 
 def _train(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -245,12 +243,6 @@ def _train(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return folded, M.drop_zero_variance(own, split.agg(F.count("*")))
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Where this session keeps what several queries need: built once, then read."""
-    mark = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{mark}"
-
-
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse training rows."""
 
@@ -258,7 +250,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         folded, used = _train(spark, sf_dir)
         return X.sparse_rows(folded.withColumn("fold", F.col("fold").cast("int")), used, M.POSITIVE)
 
-    return load_or_build(spark, _once(spark, sf_dir, "training-rows"), build)
+    return load_or_build(spark, once(spark, sf_dir, "training-rows"), build)
 
 
 def _path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +259,7 @@ def _path(spark: SparkSession, sf_dir: str) -> DataFrame:
         folds = sorted(r.fold for r in rows.select("fold").distinct().collect())
         return X.lasso_path(rows, M.penalty_grid(), M.NUM_TERMS, folds)
 
-    return load_or_build(spark, _once(spark, sf_dir, "lasso-path"), build)
+    return load_or_build(spark, once(spark, sf_dir, "lasso-path"), build)
 
 
 def _tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +325,7 @@ def test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lasso's class and probability for every comment, fitted once in a session."""
-    return load_or_build(spark, _once(spark, sf_dir, "imputed"), lambda: lasso_predictions(spark, sf_dir))
+    return load_or_build(spark, once(spark, sf_dir, "imputed"), lambda: lasso_predictions(spark, sf_dir))
 
 
 def model_codings(spark: SparkSession, sf_dir: str) -> DataFrame:

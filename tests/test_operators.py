@@ -17,6 +17,7 @@ from corpuscope.operators import corpus as C
 from corpuscope.operators import embedding as E
 from corpuscope.operators import lasso as X
 from corpuscope.operators import pca as P
+from corpuscope.operators import similarity, spectral
 from corpuscope.operators import tables as V
 from corpuscope.operators import vocab as B
 from corpuscope.operators.scale import hash_rank, join_by_frequency, running_total
@@ -256,24 +257,87 @@ def test_pca_matches_dense(spark, matrix):
     pc = P.pca(dtm, 5)
     u, s, vt = np.linalg.svd(z, full_matrices=False)
     assert pc.values == pytest.approx(s[:5] ** 2)
-    assert pc.total == pytest.approx(z.shape[1] * (z.shape[0] - 1))
-    assert pc.vectors.T @ pc.vectors == pytest.approx(np.eye(5), abs=1e-9)
+    assert pc.vectors.residual.max() < P.TOLERANCE
     scores = {(r.bigram, r.PC): r.value for r in P.pc_scores(spark, pc).collect()}
     for j in range(5):
-        sign = np.sign(scores["b00", j + 1]) * np.sign(u[0, j])
+        sign = np.sign(u[np.abs(u[:, j]).argmax(), j])
         assert [scores[f"b{i:02d}", j + 1] for i in range(12)] == pytest.approx(sign * u[:, j] * s[j])
-    loadings = {(r.comment_id, r.PC): r.value for r in P.pc_loadings(dtm, pc).collect()}
+    loadings = {(r.comment_id, r.PC): r.value for r in P.pc_loadings(pc).collect()}
     assert len(loadings) == 5 * len(kept)
     first = np.array([loadings[f"c{c}", 1] for c in kept])
     assert abs(first @ vt[0]) == pytest.approx(1.0)
     ev = P.explained_variance(spark, pc).orderBy("PC").collect()
     assert ev[0].std_dev == pytest.approx(s[0] / math.sqrt(11))
     assert ev[4].cumulative == pytest.approx((s[:5] ** 2).sum() / (s**2).sum())
-
-
-def test_vocabulary_bound(spark, matrix):
-    with pytest.raises(ValueError, match="smaller vocabulary"):
-        P.term_index(matrix[1], max_terms=5)
+    assert P.misses(dtm, pc).agg(F.max("off")).first()[0] < 1e-8
+    gram = z @ z.T
+    for r in P.cooccurrence_cells(dtm).collect():
+        assert r.g == pytest.approx(gram[int(r.bigram1[1:]), int(r.bigram2[1:])])
+
+
+def test_pca_of_little(spark):
+    schema = "bigram string, comment_id string, n long"
+    for data in ([], [("a", "c", 1)], [("a", "c", 1), ("b", "c", 1)]):
+        dtm = spark.createDataFrame(data, schema)
+        pc = P.pca(dtm, 5)
+        assert len(pc.values) == P.pc_scores(spark, pc).count() == P.pc_loadings(pc).count() == 0
+        assert P.explained_variance(spark, pc).count() == 0
+    pc = P.pca(spark.createDataFrame([("a", "c", 1), ("b", "d", 2)], schema), 5)
+    assert len(pc.values) == 1 and P.explained_variance(spark, pc).first().cumulative == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("m", "n", "k", "centre", "edge"), [(40, 60, 5, False, 16), (31, 50, 4, True, 16), (32, 50, 4, True, 16), (8, 5, 6, False, 2048)])
+def test_leading_vectors_match_dense(spark, m, n, k, centre, edge, monkeypatch):
+    monkeypatch.setattr(spectral, "BLOCK", edge)
+    monkeypatch.setattr(spectral, "SUMS", 1)
+    monkeypatch.setattr(spectral, "ENTRIES", 7)
+    rng = np.random.default_rng(m)
+    a = np.where(rng.random((m, n)) < 0.2, rng.normal(size=(m, n)), 0)
+    cells = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    dense = a
+    if centre:
+        cells += [(m, j, float(-a[:, j].mean())) for j in range(n)]
+        dense = a - a.mean(0)
+    blocks = spectral.Blocks.of(spark.createDataFrame(cells, "i long, j long, v double"), m + centre, n)
+    found = spectral.leading_vectors(spectral.Centred(blocks) if centre else blocks, k, 4, 12, 1e-9)
+    u, s, _ = np.linalg.svd(dense, full_matrices=False)
+    count = len(found.values)
+    assert count == min(k, (s > 1e-5 * s[0]).sum())
+    assert found.values == pytest.approx(s[:count], abs=1e-6)
+    got = np.zeros((m, count))
+    for r in spectral.as_rows(found.left, count, m).collect():
+        got[r.i] = r.vec
+    assert got.T @ got == pytest.approx(np.eye(count), abs=1e-6)
+    assert np.abs((got * u[:, :count]).sum(0)) == pytest.approx(np.ones(count), abs=1e-6)
+    assert found.sums == pytest.approx(got.sum(0), abs=1e-8)
+
+
+def test_search_finds_the_best_through_few_lists(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(12, 6)) * 8
+    points = [(f"t{i}", "A" if i % 5 else "B", [float(x) for x in middle[i % 12] + rng.normal(size=6)]) for i in range(600)]
+    points += [(f"same{i}", "A", points[1][2]) for i in range(200)] + [("zero", "A", [0.0] * 6)]
+    vectors = spark.createDataFrame(points, "token string, pos string, vec array<double>")
+    index = similarity.Index(vectors, tile=50)
+    queries = vectors.filter("token in ('t1', 't7', 't10', 'zero', 'same3')")
+    got = collections.defaultdict(set)
+    for r in index.search(queries, 4).collect():
+        got[r.match].add(r.token)
+    by = {t: (p, np.array(v)) for t, p, v in points}
+    for match in ("t1", "t7", "t10", "zero", "same3"):
+        like = {t: float(np.einsum("d,d->", v, by[match][1])) for t, (p, v) in by.items() if p == by[match][0]}
+        floor = sorted(like.values())[-4]
+        assert got[match] == {t for t, s in like.items() if s >= floor}
+    # Most lists can't reach what the first ones hold.
+    first = index._routed(queries, False).count()
+    floors = queries.withColumn("floor", F.lit(70.0))
+    assert first + index._routed(floors, True).count() < 0.7 * 5 * index.lists.filter("pos = 'A'").count()
+
+
+def test_search_of_nothing(spark):
+    vectors = spark.createDataFrame([], "token string, pos string, vec array<double>")
+    index = similarity.Index(vectors)
+    assert index.search(vectors, 3).count() == 0
 
 
 def test_word_vectors_match_dense(spark):
