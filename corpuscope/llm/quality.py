@@ -1,37 +1,49 @@
 """6. Quality classifier by co-training of a text view and a metadata view.
 
 The text view sees shares of letters, symbols, capitals and repeated words; the
-metadata view sees source, language and stated length. Each is a logistic
-regression. In every round a view labels the unlabelled documents that it is sure
-of, as many of each class as the labelled rows have, and the other view learns from
-them. Both are then calibrated on labelled rows
+metadata view sees the stated length and how good the labelled documents of the same
+source and language are, from a table of every source and language. Each is a logistic
+regression. In every round each view labels, of all unlabelled documents, those that it
+ranks highest and lowest, GIVEN of them in the proportion of the classes, and the other
+view learns from them. Such a label weighs as much as labelled rows kept apart show that the
+view does better than chance there, so a view that knows little teaches little, and all
+of them together weigh no more than the labelled rows. Both views are then calibrated on labelled rows
 that were kept apart, and a logistic regression over the two calibrated views
 gives the score.
 
-Fitting uses at most FIT_ROWS labelled and POOL_ROWS unlabelled documents, the first
-in hash order; counts beyond these bounds don't change the model's size or cost.
-Scoring is one narrow expression over all documents, whole texts.
+At most FIT_ROWS labelled documents are used, the first in hash order. Unlabelled ones
+are all used: their features are stored once, and a fit is a few sums over them, as is
+the table of sources. Scoring is one narrow expression over all documents, whole texts;
+what a source and language add comes by broadcast while there are at most PAIRS of
+them, else by broadcast of the frequent and a join of the rest.
 
-Cases: null texts count as empty, null metadata as a value of its own, null labels
-as none; a document with several labels takes their mean, rounded up at a half; with
+Cases: null texts count as empty, null metadata as a value of its own, a stated length that isn't a number as 0, null labels
+as none; a document with several labels takes their mean, rounded up at a half; rows that repeat
+a labelled id count as one, the first by the text's hash. With
 fewer than MIN_EACH labels of either class there is no model, every score is the share
-of good labels (1 without labels) and everything is kept. Rows that repeat an id
-are scored alike and all stay or go by their own text. Other columns are kept.
+of good labels (1 without labels) and everything is kept. Sources without labels count
+as the mean. Other columns are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, words
+from ..operators.scale import join_by_frequency
+from .common import stored, text_of, words
 
-FIT_ROWS, POOL_ROWS, MIN_EACH = 20_000, 20_000, 10
-ROUNDS, SURE, KEEP = 3, 0.97, 0.5
-SOURCES, LANGS = 64, 16
+FIT_ROWS, MIN_EACH = 20_000, 10
+#: Rounds, the share of the unlabelled rows that a view labels in one, and the score that keeps a document.
+ROUNDS, GIVEN, KEEP = 3, 0.2, 0.5
+#: Labelled rows that the mean counts for in a source's or language's share, and in how often a view is right.
+PRIOR, DOUBT = 20.0, 10.0
+#: Pairs of source and language that are broadcast.
+PAIRS = 50_000
 TEXT = ("words", "length", "distinct", "spread", "symbols", "capitals", "digits", "lines")
 
 
@@ -58,24 +70,12 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def meta_features(df: DataFrame) -> DataFrame:
-    """Add ``__m``: log of the stated length, and the slots of source and language."""
-    def of(column: str, kind: str) -> Column:
-        return F.col(column).cast(kind) if column in df.columns else F.lit(None).cast(kind)
+    """Add ``__stated`` (log of the stated length), ``__source`` and ``__lang``."""
+    def of(column: str) -> Column:
+        return F.col(column) if column in df.columns else F.lit(None)
 
-    def slot(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.coalesce(of(column, "string"), F.lit("\0"))), F.lit(n)).cast("double")
-
-    stated = F.log1p(F.greatest(F.coalesce(of("n_chars", "double"), F.lit(0.0)), F.lit(0.0)))
-    return df.withColumn("__m", F.array(stated, slot("source", SOURCES), slot("lang", LANGS)))
-
-
-def _dense(m: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(m), 1 + SOURCES + LANGS))
-    rows = np.arange(len(m))
-    out[:, 0] = m[:, 0]
-    out[rows, 1 + m[:, 1].astype(int)] = 1
-    out[rows, 1 + SOURCES + m[:, 2].astype(int)] = 1
-    return out
+    stated = F.log1p(F.greatest(F.coalesce(of("n_chars").try_cast("double"), F.lit(0.0)), F.lit(0.0)))
+    return df.withColumns({"__stated": stated, "__source": of("source").cast("string"), "__lang": of("lang").cast("string")})
 
 
 class Linear(NamedTuple):
@@ -115,73 +115,189 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     return Linear(mean, sd, b[:-1], float(b[-1]))
 
 
+class Taught(NamedTuple):
+    """What a view gave the other one in a round."""
+
+    turn: int
+    view: str
+    good: int
+    bad: int
+    weight: float
+
+
 class Model(NamedTuple):
     text: Linear
     meta: Linear
     final: Linear | None  # over the two calibrated logits; None: no model
     base: float
+    pairs: DataFrame | None  # __source, __lang, source_odds, lang_odds and rows of every pair
+    exchanged: tuple[Taught, ...] = ()
+
+
+EMPTY = Linear(np.zeros(1), np.ones(1), np.zeros(1), 0.0)
+
+
+def fit_by_sums(rows: DataFrame, xs: Sequence[Column], y: Column, weight: Column, ridge: float = 1.0) -> Linear:
+    """``fit_logistic`` over all rows with a weight: every Newton step is one row of sums."""
+    used = rows.filter(weight > 0)
+    n = len(xs)
+    first = used.agg(F.sum(weight), *[F.sum(weight * x) for x in xs], *[F.sum(weight * x * x) for x in xs]).first()
+    total = float(first[0])
+    mean = np.array(first[1 : n + 1], float) / total
+    sd = np.maximum(np.sqrt(np.maximum(np.array(first[n + 1 :], float) / total - mean**2, 0)), 1e-6)
+    z = [F.greatest(F.least((x - F.lit(float(m))) / F.lit(float(s)), F.lit(CLIP)), F.lit(-CLIP)) for x, m, s in zip(xs, mean, sd)]
+    z = [*z, F.lit(1.0)]
+    # Standardised once, so that the sums read plain columns.
+    flat = used.select(y.alias("y"), weight.alias("w"), *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    names = [F.col(f"z{i}") for i in range(n + 1)]
+    penalty = np.diag([ridge] * n + [1e-6])
+    b = np.zeros(n + 1)
+    for _ in range(25):
+        linear = sum((F.lit(float(c)) * v for c, v in zip(b, names)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(35.0)), F.lit(-35.0))))
+        with_p = flat.withColumn("p", p).withColumn("r", F.col("w") * (F.col("y") - F.col("p"))).withColumn("h", F.col("w") * F.col("p") * (1 - F.col("p")))
+        pairs = [(i, j) for i in range(n + 1) for j in range(i + 1)]
+        sums = with_p.agg(*[F.sum(F.col("r") * v) for v in names], *[F.sum(F.col("h") * names[i] * names[j]) for i, j in pairs]).first()
+        h = penalty.copy()
+        for (i, j), value in zip(pairs, sums[n + 1 :]):
+            h[i, j] += value
+            if i != j:
+                h[j, i] += value
+        step = np.linalg.solve(h, np.array(sums[: n + 1], float) - penalty @ b)
+        size = np.abs(step).max()
+        b = b + step * min(1.0, 5 / max(size, 1e-9))
+        if size < 1e-5:
+            break
+    return Linear(mean, sd, b[:-1], float(b[-1]))
 
 
-def _sure_labels(p: np.ndarray, share: float, sure: float) -> np.ndarray:
-    """1, 0 or nan: the surest of both classes, in the proportion of the labelled rows."""
-    out = np.full(len(p), np.nan)
-    classes = [(1.0, p, share), (0.0, 1 - p, 1 - share)]
-    most = min((q >= sure).sum() / s for _, q, s in classes)
-    for c, q, s in classes:
-        out[np.argsort(-q, kind="stable")[: int(most * s)]] = c
-    return out
-
-
-def co_train(x, m, y, pool_x, pool_m, rounds: int = ROUNDS, sure: float = SURE) -> tuple[Linear, Linear]:
-    """The two views after exchanging the labels they are sure of."""
-    views = [(x, pool_x), (m, pool_m)]
-    given: list[np.ndarray] = [np.full(len(pool_x), np.nan), np.full(len(pool_x), np.nan)]
-    fitted = [None, None]
-    for turn in range(rounds + 1):
-        for v, (own, pool) in enumerate(views):
-            has = ~np.isnan(given[v])
-            fitted[v] = fit_logistic(np.concatenate([own, pool[has]]), np.concatenate([y, given[v][has]]))
-        if turn < rounds:
-            for v, (_, pool) in enumerate(views):
-                p = _sigmoid(fitted[v].logit(pool)) if len(pool) else np.zeros(0)
-                given[1 - v] = _sure_labels(p, y.mean(), sure)
-    return fitted[0], fitted[1]
+def _known_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit_rows: int) -> DataFrame:
+    """Stored features of every row: x, stated, source, lang; y, weight and apart of labelled ones."""
+    wanted = [c for c in ("source", "lang", "n_chars") if c in docs.columns and c not in (key, text)]
+    bare = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__body"), *[F.col(f"`{c}`") for c in wanted])
+    each = meta_features(text_features(bare, "__body")).select(
+        F.col("__id").alias("id"), F.xxhash64(text_of("__body")).alias("row"), F.col("__x").alias("x"),
+        F.col("__stated").alias("stated"), F.col("__source").alias("source"), F.col("__lang").alias("lang"),
+    )
+    each = stored(each, "features")
+    ids = each.select("id").filter("id is not null").distinct()
+    marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).filter("y is not null")
+    marks = marks.groupBy("id").agg(F.when(F.avg("y") >= 0.5, 1.0).otherwise(0.0).alias("y")).join(ids, "id")
+    order = F.md5(F.col("id").cast("string"))
+    labelled = marks.orderBy(order, "id").limit(fit_rows)
+    # Of each class every fifth is kept for calibration; at most fit_rows rows here.
+    marked = labelled.select("id", "y", order.alias("o")).collect()
+    taken, numbers = [], {0.0: 0, 1.0: 0}
+    for r in sorted(marked, key=lambda r: (r.o, str(r.id))):
+        taken.append((r.id, r.y, numbers[r.y] % 5 == 0))
+        numbers[r.y] += 1
+    schema = labelled.select("id", "y").schema.add("apart", "boolean")
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, schema))
+    one = each.join(chosen.select("id"), "id").groupBy("id").agg(F.min("row").alias("row"))
+    one = one.join(each, ["id", "row"]).groupBy("id", "row").agg(F.count("*").alias("copies"))
+    # One row per labelled id.
+    one = F.broadcast(one.join(chosen, "id"))
+    joined = each.join(one, ["id", "row"], "left")
+    return stored(joined.withColumn("own", F.coalesce(1 / F.col("copies"), F.lit(0.0))), "known-rows")
+
+
+def _odds(good: Column, total: Column, base: float) -> Column:
+    """Log odds of a share that is shrunk towards ``base``."""
+    return F.log((good + PRIOR * base) / (total - good + PRIOR * (1 - base)))
+
+
+def _with_odds(rows: DataFrame, base: float, y: Column, weight: Column) -> DataFrame:
+    """Add what source and language say of a row, from all other rows (``source_odds``, ``lang_odds``)
+    and from all rows (``source_all``, ``lang_all``)."""
+    rows = rows.withColumn("__y", F.coalesce(y, F.lit(0.0))).withColumn("__w", weight)
+    for c in ("source", "lang"):
+        sums = rows.groupBy(F.struct(c).alias("__k")).agg(F.sum("__w").alias("__n"), F.sum(F.col("__w") * F.col("__y")).alias("__g"))
+        # A key inside a struct equals another null one.
+        rows = rows.withColumn("__k", F.struct(c)).join(sums, "__k").drop("__k")
+        without = _odds(F.greatest(F.col("__g") - F.col("__w") * F.col("__y"), F.lit(0.0)), F.greatest(F.col("__n") - F.col("__w"), F.lit(0.0)), base)
+        rows = rows.withColumns({f"{c}_odds": without, f"{c}_all": _odds(F.col("__g"), F.col("__n"), base)}).drop("__n", "__g")
+    return rows.drop("__y", "__w")
+
+
+def _text_x() -> list[Column]:
+    return [F.get("x", F.lit(i)) for i in range(len(TEXT))]
+
+
+def _meta_x(kind: str = "odds") -> list[Column]:
+    return [F.col("stated"), F.col(f"source_{kind}"), F.col(f"lang_{kind}")]
+
+
+def _apart(rows: DataFrame, logits: dict[str, Column]) -> tuple[np.ndarray, ...]:
+    """y and the logits of the rows kept apart, at most a fifth of FIT_ROWS."""
+    found = rows.filter("apart").select("id", "y", *[z.alias(n) for n, z in logits.items()]).dropDuplicates(["id"]).collect()
+    found.sort(key=lambda r: str(r.id))
+    return tuple(np.array([r[c] for r in found], float) for c in ("y", *logits))
+
+
+def _lessons(rows: DataFrame, logit: Column, seen: tuple[np.ndarray, np.ndarray], base: float, given: float, n_train: float, name: str) -> tuple[DataFrame, int, int, float]:
+    """``rows`` with the labels (``{name}_y``) and weights (``{name}_w``) that a view gives to unlabelled ones.
+
+    ``seen`` has the classes and logits of the rows kept apart.
+    """
+    rows = rows.drop(f"{name}_y", f"{name}_w").withColumn("__z", logit)
+    cuts = rows.filter("y is null").agg(F.percentile_approx("__z", [given * (1 - base), 1 - given * base], 10_000)).first()[0]
+    if cuts is None or not cuts[0] < cuts[1]:
+        cuts = [-np.inf, np.inf]
+    y, z = seen
+    # How often the view was right there, less what chance gives.
+    knows = []
+    for c, share, there in ((1.0, base, z >= cuts[1]), (0.0, 1 - base, z <= cuts[0])):
+        right = ((y[there] == c).sum() + DOUBT * share) / (there.sum() + DOUBT)
+        knows.append(max(0.0, (right - share) / (1 - share)))
+    good = F.col("y").isNull() & (F.col("__z") >= F.lit(float(cuts[1])))
+    bad = F.col("y").isNull() & (F.col("__z") <= F.lit(float(cuts[0])))
+    number = rows.agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad")).first()
+    counts = [n if k > 0 else 0 for n, k in zip((number.good, number.bad), knows)]
+    total = sum(n * k for n, k in zip(counts, knows))
+    scale = min(1.0, n_train / total) if total else 0.0
+    weight = F.when(good, knows[0] * scale).when(bad, knows[1] * scale).otherwise(0.0)
+    marked = rows.withColumns({f"{name}_y": F.when(good, 1.0).when(bad, 0.0), f"{name}_w": weight}).drop("__z")
+    return marked, *counts, float(total * scale)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-    fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS,
+    fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, given: float = GIVEN,
 ) -> Model:
-    ids = docs.select(F.col(key).alias("id")).filter("id is not null").distinct()
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).filter("y is not null")
-    known = known.groupBy("id").agg(F.when(F.avg("y") >= 0.5, 1.0).otherwise(0.0).alias("y")).join(ids, "id")
-    order = F.md5(F.col("id").cast("string"))
-    labelled = known.orderBy(order, "id").limit(fit_rows)
-    pool = ids.join(known, "id", "left_anti").orderBy(order, "id").limit(pool_rows).withColumn("y", F.lit(None).cast("double"))
-    # At most fit_rows + pool_rows ids.
-    chosen = docs.withColumn("__id", F.col(key)).join(F.broadcast(labelled.unionByName(pool).withColumnRenamed("id", "__id")), "__id")
-    rows = meta_features(text_features(chosen, text)).select("__id", "y", "__x", "__m").collect()
-    rows.sort(key=lambda r: (r["__id"], r["__x"], r["__m"]))
-    x = np.array([r["__x"] for r in rows]).reshape(len(rows), len(TEXT))
-    m = _dense(np.array([r["__m"] for r in rows]).reshape(len(rows), 3))
-    y = np.array([np.nan if r["y"] is None else r["y"] for r in rows])
-    has = ~np.isnan(y)
-    base = float(y[has].mean()) if has.any() else 1.0
-    if min((y[has] == 1).sum(), (y[has] == 0).sum()) < MIN_EACH:
-        empty = Linear(np.zeros(1), np.ones(1), np.zeros(1), 0.0)
-        return Model(empty, empty, None, base)
-    # Of each class every fifth labelled row is kept for calibration.
-    apart = np.zeros(len(y), bool)
-    for c in (0.0, 1.0):
-        apart[np.flatnonzero(y == c)[::5]] = True
-    train, pool_at = has & ~apart, ~has
-    tv, mv = co_train(x[train], m[train], y[train], x[pool_at], m[pool_at])
-    logits = [tv.logit(x[apart]), mv.logit(m[apart])]
-    scaled = [fit_logistic(z[:, None], y[apart]) for z in logits]
-    both = np.column_stack([c.logit(z[:, None]) for c, z in zip(scaled, logits)])
-    final = fit_logistic(both, y[apart])
+    rows = _known_rows(docs, labels, key, text, label, fit_rows)
+    train = F.when(F.col("apart"), 0.0).otherwise(F.col("own"))
+    counted = {r.y: r for r in rows.filter("y is not null").groupBy("y").agg(F.sum("own").alias("n"), F.sum(train).alias("t")).collect()}
+    n = sum(r.n for r in counted.values())
+    base = float(counted[1.0].n / n) if 1.0 in counted else 0.0 if n else 1.0
+    if len(counted) < 2 or min(r.n for r in counted.values()) < MIN_EACH - 0.5:
+        return Model(EMPTY, EMPTY, None, base, None)
+    n_train = sum(r.t for r in counted.values())
+    # A view learns from labelled rows and from what the other one (``by_...``) tells.
+    rows = rows.withColumns({"by_meta_y": F.lit(None).cast("double"), "by_meta_w": F.lit(0.0), "by_text_y": F.lit(None).cast("double"), "by_text_w": F.lit(0.0)})
+
+    def learn(teacher: str) -> tuple[Column, Column]:
+        return F.coalesce("y", f"{teacher}_y"), F.when(F.col("y").isNotNull(), train).otherwise(F.col(f"{teacher}_w"))
+
+    exchanged = []
+    for turn in range(rounds + 1):
+        rows = stored(_with_odds(rows.drop("source_odds", "lang_odds", "source_all", "lang_all"), base, *learn("by_text")), "views")
+        tv = fit_by_sums(rows, _text_x(), *learn("by_meta"))
+        mv = fit_by_sums(rows, _meta_x(), *learn("by_text"))
+        logits = {"t": _logit(_text_x(), tv), "m": _logit(_meta_x(), mv)}
+        y, t, m = _apart(rows, logits)
+        if turn == rounds:
+            break
+        for view, name, seen in (("t", "by_text", t), ("m", "by_meta", m)):
+            rows, good, bad, weight = _lessons(rows, logits[view], (y, seen), base, given, n_train, name)
+            exchanged.append(Taught(turn, name, good, bad, weight))
+    scaled = [fit_logistic(z[:, None], y) for z in (t, m)]
+    both = np.column_stack([c.logit(z[:, None]) for c, z in zip(scaled, (t, m))])
+    final = fit_logistic(both, y)
+    pairs = rows.groupBy("source", "lang").agg(
+        F.first("source_all").alias("source_odds"), F.first("lang_all").alias("lang_odds"), F.count("*").alias("rows")
+    ).withColumnsRenamed({"source": "__source", "lang": "__lang"})
     # The calibrations are linear, so they go into the final weights.
-    return Model(_calibrated(tv, scaled[0]), _calibrated(mv, scaled[1]), final, base)
+    return Model(_calibrated(tv, scaled[0]), _calibrated(mv, scaled[1]), final, base, stored(pairs, "pairs"), tuple(exchanged))
 
 
 def _calibrated(view: Linear, scale: Linear) -> Linear:
@@ -197,39 +313,43 @@ def _logit(values: list[Column], view: Linear) -> Column:
     return total
 
 
-def _slots(view: Linear, first: int, n: int) -> tuple[Column, float]:
-    """What a slot adds over an empty one, by its number; and what all empty ones give."""
-    mean, sd, w = (a[first : first + n] for a in (view.mean, view.sd, view.weight))
-    off = np.clip(-mean / sd, -CLIP, CLIP) * w
-    on = np.clip((1 - mean) / sd, -CLIP, CLIP) * w
-    return F.array(*[F.lit(float(d)) for d in on - off]), float(off.sum())
+def _pair() -> Column:
+    """Source and language as one text; a missing one is unlike any other."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    return F.concat(F.char_length(part("__source")).cast("string"), F.lit(":"), part("__source"), part("__lang"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: float = KEEP) -> DataFrame:
-    """``docs`` with text_score, meta_score, quality_score and kept added."""
+    """``docs`` with text_score, meta_score, quality_score and kept added; columns of these names are replaced."""
+    docs = docs.drop("text_score", "meta_score", "quality_score", "kept")
     if model.final is None:
         base = F.lit(model.base)
         return docs.withColumns({"text_score": base, "meta_score": base, "quality_score": base, "kept": F.lit(True)})
-    df = meta_features(text_features(docs, text))
+    df = meta_features(docs).withColumn("__pair", _pair())
+    pairs = model.pairs.select(_pair().alias("__pair"), "source_odds", "lang_odds", F.col("rows").alias("__rows"))
+    pairs = pairs.withColumnsRenamed({"source_odds": "__so", "lang_odds": "__lo"})
+    if model.pairs.limit(PAIRS + 1).count() <= PAIRS:
+        df = df.join(F.broadcast(pairs), "__pair", "left")
+    else:
+        df = join_by_frequency(df, pairs, "__pair", "__rows", "left")
+    df = text_features(df, text)
+    odds = float(np.log(model.base / (1 - model.base)))
     df = df.withColumn("__tl", _logit([F.get("__x", F.lit(i)) for i in range(len(TEXT))], model.text))
-    sources, s0 = _slots(model.meta, 1, SOURCES)
-    langs, l0 = _slots(model.meta, 1 + SOURCES, LANGS)
-    stated = Linear(model.meta.mean[:1], model.meta.sd[:1], model.meta.weight[:1], model.meta.bias + s0 + l0)
-    meta = _logit([F.get("__m", F.lit(0))], stated)
-    meta = meta + F.get(sources, F.get("__m", F.lit(1)).cast("int")) + F.get(langs, F.get("__m", F.lit(2)).cast("int"))
-    df = df.withColumn("__ml", meta).withColumn("__f", _logit([F.col("__tl"), F.col("__ml")], model.final))
+    df = df.withColumn("__ml", _logit([F.col("__stated"), F.coalesce("__so", F.lit(odds)), F.coalesce("__lo", F.lit(odds))], model.meta))
+    df = df.withColumn("__f", _logit([F.col("__tl"), F.col("__ml")], model.final))
 
     def p(logit: str) -> Column:
         return 1 / (1 + F.exp(-F.greatest(F.least(F.col(logit), F.lit(35.0)), F.lit(-35.0))))
 
     df = df.withColumns({"text_score": p("__tl"), "meta_score": p("__ml"), "quality_score": p("__f")})
-    return df.withColumn("kept", F.col("quality_score") >= keep).drop("__x", "__m", "__tl", "__ml", "__f")
+    working = ("__x", "__tl", "__ml", "__f", "__pair", "__so", "__lo", "__rows", "__stated", "__source", "__lang")
+    return df.withColumn("kept", F.col("quality_score") >= keep).drop(*working)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that the classifier keeps, columns as they were; no shuffle of texts."""
+    """The documents that the classifier keeps, columns as they were."""
     columns = docs.columns
     judged = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *[
-        F.col(f"`{c}`") for c in (text, "source", "lang", "n_chars") if c in columns
+        F.col(f"`{c}`") for c in dict.fromkeys((text, "source", "lang", "n_chars")) if c in columns
     ]), fit(docs, labels, key, text), text)
     return judged.filter("kept").select("__row.*")
