@@ -40,7 +40,7 @@ from .ranges import dealt_again
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Words of one block, and bits of a shingle's hash.
-BLOCK, BITS = 1 << 20, 44
+BLOCK, BITS = 1 << 19, 44
 #: Bytes of shingle sets of one tile.
 TILE = 16 << 20
 NO_ID = np.iinfo(np.int64).max
