@@ -259,9 +259,27 @@ def value_order(df: DataFrame, by: Sequence[str], value: str, out: str = "ord")
 # --- sampling ----------------------------------------------------------------
 
 
+#: Hexadecimal digits of a hash that a sample's histogram is over.
+_DIGITS = 4
+
+
 def sample_fixed(df: DataFrame, key: str, k: int, seed: int | str) -> DataFrame:
-    """The first k rows in hash order."""
-    return hash_rank(df, key, seed, out="__r").filter(F.col("__r") <= k).drop("__r")
+    """The first k rows in hash order.
+
+    A histogram of the first digits of the hash tells which of its 16 ** _DIGITS cells
+    holds the k-th row. Rows of cells before it are taken by a filter, where they are;
+    only those of that one cell are ranked.
+    """
+    # Rows without a key come first.
+    cell = F.coalesce(F.substring(hash_order(key, seed), 1, _DIGITS), F.lit(""))
+    sizes = df.groupBy(cell.alias("c")).agg(F.count("*").alias("n"))
+    # At most 16 ** _DIGITS cells.
+    upto = sizes.select("c", "n", F.sum("n").over(W.orderBy("c")).alias("upto"))
+    edge = upto.filter(F.col("upto") >= k).agg(F.min(F.struct("c", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+    edge = edge.select(F.coalesce("e.c", F.lit("g")).alias("c"), F.coalesce("e.before", F.lit(0)).alias("before")).first()
+    before = df.filter(cell < edge.c)
+    last = hash_rank(df.filter(cell == edge.c), key, seed, out="__r").filter(F.col("__r") <= k - edge.before)
+    return before.unionByName(last.drop("__r"))
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int | str) -> DataFrame:

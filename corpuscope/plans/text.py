@@ -371,9 +371,12 @@ def unigram_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("p", F.round("p", 8))
 
 
-_PAIRS = """(SELECT item1, item2, n, n / sum(n) OVER () AS p FROM (
-  SELECT a.token AS item1, b.token AS item2, count(*) AS n FROM (SELECT DISTINCT token, context_id FROM content) a
-  JOIN (SELECT DISTINCT token, context_id FROM content) b USING (context_id) GROUP BY 1, 2 HAVING count(*) > 20))"""
+# A pair shares no more contexts than either token has, so the others leave first.
+_OFTEN = """(SELECT token, context_id FROM (SELECT DISTINCT token, context_id FROM content)
+  SEMI JOIN (SELECT token FROM content GROUP BY 1 HAVING count(DISTINCT context_id) > 20) USING (token))"""
+_PAIRS = f"""(SELECT item1, item2, n, n / sum(n) OVER () AS p FROM (
+  SELECT a.token AS item1, b.token AS item2, count(*) AS n FROM {_OFTEN} a JOIN {_OFTEN} b USING (context_id)
+  GROUP BY 1, 2 HAVING count(*) > 20))"""
 
 
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,9 +133,9 @@ def inner_join_renamed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         """SELECT a.comment_id, a.doc_id, CAST(a.sentence_id AS INTEGER) AS sentence_id, CAST(a.token_id AS INTEGER) AS token_id,
   a.lemma AS lemma_x, h.lemma AS lemma_y
-FROM annotations a JOIN annotations h ON a.comment_id = h.comment_id AND a.doc_id = h.doc_id
-  AND a.sentence_id = h.sentence_id AND a.head_token_id = h.token_id
-WHERE a.pos = 'ADJ' AND h.pos = 'NOUN'""",
+FROM (SELECT comment_id, doc_id, sentence_id, token_id, head_token_id, lemma FROM annotations WHERE pos = 'ADJ') a
+JOIN (SELECT doc_id, sentence_id, token_id, lemma FROM annotations WHERE pos = 'NOUN') h
+  ON a.doc_id = h.doc_id AND a.sentence_id = h.sentence_id AND a.head_token_id = h.token_id""",
         "annotations",
     )
 )
