@@ -22,6 +22,29 @@ def new_rows(batch: DataFrame, known: DataFrame | None, keys: Sequence[str]) ->
     return once.join(seen, same, "left_anti")
 
 
+#: Ranges that a batch's keys are described by, and keys at either end that count one by one.
+RANGES, ALONE = 32, 16
+
+
+def in_ranges(known: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The rows of ``known`` whose key lies in one of the ranges that the batch's keys fill.
+
+    The ranges reach the files: a batch is stored in the order of its keys, so files and
+    row groups outside them are not read. The ALONE smallest and largest keys are looked
+    up one by one, so that a few documents that come late don't stretch a range to
+    where they are; of more the last ones do, which reads more and is as right. Rows without a key are always in.
+    """
+    keys = batch.select(key).filter(F.col(key).isNotNull()).distinct()
+    low = [r[0] for r in keys.orderBy(F.asc(key)).limit(ALONE).collect()]
+    high = [r[0] for r in keys.orderBy(F.desc(key)).limit(ALONE).collect()]
+    found = [F.col(key) == k for k in dict.fromkeys(low + high)]
+    if len(low) == ALONE:
+        middle = keys.filter((F.col(key) > low[-1]) & (F.col(key) < high[-1])).repartitionByRange(RANGES, key)
+        ends = middle.groupBy(F.spark_partition_id()).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+        found += [F.col(key).between(r.lo, r.hi) for r in ends]
+    return known.filter(reduce(lambda a, b: a | b, found, F.col(key).isNull()))
+
+
 def ingest_listing_stream(
     spark: SparkSession,
     source: str,
@@ -34,7 +57,7 @@ def ingest_listing_stream(
     """Take in all landed blocks not seen before, then stop.
 
     Progress is in ``checkpoint``; a later call goes on from there. Rows are compared
-    by key with everything at ``target``, however old: another document's listing may
+    by key with what is at ``target`` in the ranges of their keys, however old: another document's listing may
     land late. Each batch has a folder ``batch=<number>`` of its own, which a repeated
     batch overwrites, so no row is lost or doubled after a failure.
     """
@@ -47,7 +70,10 @@ def ingest_listing_stream(
                 raise
             known = None
         rows = batch.withColumn(ts, F.col(ts).cast("timestamp"))
-        new_rows(rows, known, keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if known is not None:
+            known = in_ranges(known, rows, keys[0])
+        found = new_rows(rows, known, keys)
+        found.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (
         spark.readStream.schema(schema)

@@ -11,6 +11,7 @@ from corpuscope.operators.annotate import annotate
 from corpuscope.operators.corpus import build_corpus, submission_histogram
 from corpuscope.sources import coding_sheets, comments, listing, tables
 from corpuscope.streaming import ingest_listing_stream, submissions_stream, weekly_table
+from corpuscope.streaming.listing import in_ranges, new_rows
 
 
 def comment_json(cid, included):
@@ -143,6 +144,19 @@ def test_bucketed_join_needs_no_shuffle(spark):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_a_batch_reads_the_ranges_of_its_keys(spark, tmp_path):
+    target = str(tmp_path / "target")
+    for n in range(5):
+        spark.range(n * 2000, (n + 1) * 2000).selectExpr("lpad(cast(id as string), 8, '0') as k", "id").write.parquet(f"{target}/batch={n}")
+    known = spark.read.parquet(target)
+    batch = spark.createDataFrame([(f"{k:08d}", k) for k in [*range(9900, 10040), 17, 4000]] + [(None, -1)], "k string, id long")
+    near = in_ranges(known, batch, "k")
+    assert near.count() == 102
+    assert "PushedFilters: [Or(" in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in new_rows(batch, near, ["k"]).collect()) == [-1, *range(10000, 10040)]
+    assert in_ranges(known, batch.limit(0), "k").count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.range(400).select(
         F.col("id").alias("event_id"),
