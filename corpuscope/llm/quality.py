@@ -27,10 +27,11 @@ as the mean. Other columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,35 +139,45 @@ EMPTY = Linear(np.zeros(1), np.ones(1), np.zeros(1), 0.0)
 
 
 def fit_by_sums(rows: DataFrame, xs: Sequence[Column], y: Column, weight: Column, ridge: float = 1.0) -> Linear:
-    """``fit_logistic`` over all rows with a weight: every Newton step is one row of sums."""
-    used = rows.filter(weight > 0)
+    """``fit_logistic`` over all rows with a weight: a Newton step is one sum over them.
+
+    Every task sends as many numbers as the step has, which are added up by their place.
+    """
     n = len(xs)
-    first = used.agg(F.sum(weight), *[F.sum(weight * x) for x in xs], *[F.sum(weight * x * x) for x in xs]).first()
-    total = float(first[0])
-    mean = np.array(first[1 : n + 1], float) / total
-    sd = np.maximum(np.sqrt(np.maximum(np.array(first[n + 1 :], float) / total - mean**2, 0)), 1e-6)
-    z = [F.greatest(F.least((x - F.lit(float(m))) / F.lit(float(s)), F.lit(CLIP)), F.lit(-CLIP)) for x, m, s in zip(xs, mean, sd)]
-    z = [*z, F.lit(1.0)]
-    # Standardised once, so that the sums read plain columns.
-    flat = used.select(y.alias("y"), weight.alias("w"), *[v.alias(f"z{i}") for i, v in enumerate(z)])
-    names = [F.col(f"z{i}") for i in range(n + 1)]
+    used = rows.filter(weight > 0).select(y.alias("y"), weight.alias("w"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
+
+    def added(part, size: int) -> np.ndarray:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for b in batches:
+                y, w, *x = (b.column(c).to_numpy() for c in b.schema.names)
+                total += part(np.column_stack(x), y, w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], ["k", "v"])
+
+        found = used.mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros(size)
+        for r in found:
+            out[r.k] = r.v
+        return out
+
+    moments = added(lambda x, y, w: np.concatenate([[w.sum()], w @ x, w @ x**2]), 1 + 2 * n)
+    mean = moments[1 : n + 1] / moments[0]
+    sd = np.maximum(np.sqrt(np.maximum(moments[n + 1 :] / moments[0] - mean**2, 0)), 1e-6)
     penalty = np.diag([ridge] * n + [1e-6])
     b = np.zeros(n + 1)
+
+    def step_sums(x, y, w):
+        z = np.column_stack([np.clip((x - mean) / sd, -CLIP, CLIP), np.ones(len(y))])
+        p = _sigmoid(z @ b)
+        return np.concatenate([z.T @ (w * (y - p)), ((z * (w * p * (1 - p))[:, None]).T @ z).ravel()])
+
     for _ in range(25):
-        linear = sum((F.lit(float(c)) * v for c, v in zip(b, names)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(35.0)), F.lit(-35.0))))
-        with_p = flat.withColumn("p", p).withColumn("r", F.col("w") * (F.col("y") - F.col("p"))).withColumn("h", F.col("w") * F.col("p") * (1 - F.col("p")))
-        pairs = [(i, j) for i in range(n + 1) for j in range(i + 1)]
-        sums = with_p.agg(*[F.sum(F.col("r") * v) for v in names], *[F.sum(F.col("h") * names[i] * names[j]) for i, j in pairs]).first()
-        h = penalty.copy()
-        for (i, j), value in zip(pairs, sums[n + 1 :]):
-            h[i, j] += value
-            if i != j:
-                h[j, i] += value
-        step = np.linalg.solve(h, np.array(sums[: n + 1], float) - penalty @ b)
+        sums = added(step_sums, (n + 1) * (n + 2))
+        h = sums[n + 1 :].reshape(n + 1, n + 1) + penalty
+        step = np.linalg.solve(h, sums[: n + 1] - penalty @ b)
         size = np.abs(step).max()
         b = b + step * min(1.0, 5 / max(size, 1e-9))
-        if size < 1e-5:
+        if size < 1e-4:
             break
     return Linear(mean, sd, b[:-1], float(b[-1]))
 
@@ -211,9 +222,15 @@ def _with_odds(rows: DataFrame, base: float, y: Column, weight: Column) -> DataF
     and from all rows (``source_all``, ``lang_all``)."""
     rows = rows.withColumn("__y", F.coalesce(y, F.lit(0.0))).withColumn("__w", weight)
     for c in ("source", "lang"):
-        sums = rows.groupBy(F.struct(c).alias("__k")).agg(F.sum("__w").alias("__n"), F.sum(F.col("__w") * F.col("__y")).alias("__g"))
+        sums = rows.groupBy(F.struct(c).alias("__k")).agg(
+            F.sum("__w").alias("__n"), F.sum(F.col("__w") * F.col("__y")).alias("__g"), F.count("*").alias("rows")
+        )
         # A key inside a struct equals another null one.
-        rows = rows.withColumn("__k", F.struct(c)).join(sums, "__k").drop("__k")
+        sums = stored(sums, "shares")
+        if sums.limit(PAIRS + 1).count() <= PAIRS:
+            rows = rows.withColumn("__k", F.struct(c)).join(F.broadcast(sums.drop("rows")), "__k").drop("__k")
+        else:
+            rows = join_by_frequency(rows.withColumn("__k", F.struct(c)), sums, "__k", "rows").drop("__k", "rows")
         without = _odds(F.greatest(F.col("__g") - F.col("__w") * F.col("__y"), F.lit(0.0)), F.greatest(F.col("__n") - F.col("__w"), F.lit(0.0)), base)
         rows = rows.withColumns({f"{c}_odds": without, f"{c}_all": _odds(F.col("__g"), F.col("__n"), base)}).drop("__n", "__g")
     return rows.drop("__y", "__w")
