@@ -40,7 +40,7 @@ from .common import stored, text_of, words
 
 FIT_ROWS, MIN_EACH = 20_000, 10
 #: Rounds, the share of the unlabelled rows that a view labels in one, and the score that keeps a document.
-ROUNDS, GIVEN, KEEP = 3, 0.2, 0.5
+ROUNDS, GIVEN, KEEP = 2, 0.2, 0.5
 #: Labelled rows that the mean counts for in a source's or language's share, and in how often a view is right.
 PRIOR, DOUBT = 20.0, 10.0
 #: Pairs of source and language that are broadcast.
@@ -177,7 +177,8 @@ def fit_by_sums(rows: DataFrame, xs: Sequence[Column], y: Column, weight: Column
         step = np.linalg.solve(h, sums[: n + 1] - penalty @ b)
         size = np.abs(step).max()
         b = b + step * min(1.0, 5 / max(size, 1e-9))
-        if size < 1e-4:
+        # Newton steps square what is left.
+        if size < 1e-3:
             break
     return Linear(mean, sd, b[:-1], float(b[-1]))
 
