@@ -5,12 +5,12 @@ A word is a vector of letter counts. One edit changes it by a squared distance o
 distances of all pairs of two blocks of words come from the blocks' Gram matrix, one
 NumPy product, and only pairs of distance 1 or 2 are looked at letter by letter.
 
-A block holds words of one length; it meets itself and the blocks one letter longer.
-Blocks are cut further by how many letters a word has of each of k classes: an edit
-moves at most one letter between classes or adds one, so a block has to meet only the
-blocks of k * (k - 1) / 2 such moves and k additions. k follows the number of words, so
-blocks stay small. A block that is still large is dealt into tiles, and every two tiles
-meet in a task of their own. Nothing is capped.
+A block holds words with the same number of letters of each of k classes, which fixes
+their length: an edit moves at most one letter between classes or adds one, so a block
+has to meet itself and only the blocks of k * (k - 1) / 2 such moves and k additions. k
+follows the number of words, so blocks stay small. A block that is still large is dealt
+into tiles, and every two tiles meet in a group of their own. Some hundred small groups
+go to Python at once, because one call costs more than one group. Nothing is capped.
 
 A word has few neighbours, at most its length times the alphabet, so no group of
 neighbours is large either. The form of a word is so much more frequent than the word
@@ -23,6 +23,7 @@ decides on deletions; repeated rows count as often as they are there; no words,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,22 @@ from .common import stored, text_of
 #: Letters of a word, as a class of a pattern; only A-Z are lower-cased.
 LETTERS = "A-Za-zÀ-ÿ"
 SHORTEST, FEWEST, EVERY, TIMES = 7, 2, 31, 10
-#: About so many words share length and classes; about so many at most are one tile.
-BLOCK, TILE = 256, 4096
-#: Cells of one Gram matrix, and letters that are compared at once.
-CELLS, COMPARED = 1 << 22, 1 << 22
+#: About so many words share the classes; about so many at most are one tile.
+BLOCK, TILE = 1024, 4096
+#: So many words have their groups in one call.
+CALL = 2048
+#: Cells of one Gram matrix, pairs and letters that are compared at once.
+CELLS, PAIRS, COMPARED = 1 << 18, 1 << 20, 1 << 20
+#: Bits that hold the digits of all classes.
+BITS = 60
 
 
 def lowered(word: Column) -> Column:
+    """Only A-Z in lower case; without other letters than ASCII that is ``lower``."""
     upper = "".join(map(chr, range(65, 91)))
-    return F.translate(word, upper, "".join(map(chr, range(97, 123))))
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(
+        F.translate(word, upper, "".join(map(chr, range(97, 123))))
+    )
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY) -> DataFrame:
@@ -68,30 +76,46 @@ def classes_for(words: int) -> int:
 
 
 def blocks(words: DataFrame, k: int) -> DataFrame:
-    """(word, n, own): the block is the length and, for each class, its number of letters."""
-    # Code points modulo k spread the letters.
-    letters = [*range(97, 123), *range(0xC0, 0x100)]
-    others = ["[^" + "".join(chr(x) for x in letters if x % k == c) + "]" for c in range(k)]
-    own = [F.length(F.regexp_replace("word", o, "")) for o in others]
-    return words.select("word", "n", F.concat_ws(" ", F.length("word"), *own).alias("own"))
+    """(word, n, own): the block is, for each class, its number of letters, one digit of a long.
+
+    Digits go round at 2 ** (BITS // k), 4 at least. Blocks that thereby become one are met by
+    the same moves, so no pair is lost or met twice.
+    """
+    bits = BITS // k
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = Letters(batch.column("word").to_pylist(), classes=k)
+            digits = both.counts.astype(np.int64) & ((1 << bits) - 1)
+            own = (digits << (bits * np.arange(k, dtype=np.int64))).sum(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["word", "n", "own"])
+
+    return words.select("word", "n").mapInArrow(place, "word string, n long, own long")
 
 
 def meetings(placed: DataFrame, k: int) -> DataFrame:
     """(own, tile, turn, guest, word, n): who meets in the group (own, tile, turn).
 
-    Two blocks a move apart meet in one of them: of equal lengths in the one that has a
-    letter more of the lower class, else in the longer. A group has one tile of its block
-    and the guests of one tile number; only blocks that there are get guests.
+    Two blocks a move apart meet in the one of more words, so that few words travel. A
+    group has one tile of its block and the guests of one tile number; only blocks that
+    there are get guests.
     """
-    sizes = placed.groupBy("own").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    sizes = stored(sizes, "block-sizes")
-    number = F.transform(F.split("own", " "), lambda x: x.cast("int"))
-    moves = [{i: 1, j: -1} for i in range(k) for j in range(i + 1, k)] + [{-1: 1, i: 1} for i in range(k)]
-    moved = [F.concat_ws(" ", *[F.col("at")[c + 1] + m.get(c, 0) for c in range(-1, k)]) for m in moves]
-    ways = sizes.select("own", "tiles", number.alias("at")).select("own", "tiles", F.explode(F.array(*moved)).alias("to"))
-    there = sizes.select(F.col("own").alias("to"), F.col("tiles").alias("to_tiles"))
-    ways = stored(ways.join(there, "to"), "block-moves")
-    # At most one row per move and block is collected.
+    sizes = placed.groupBy("own").agg(F.count("*").alias("words"))
+    sizes = stored(sizes.withColumn("tiles", F.ceil(F.col("words") / TILE).cast("int")), "block-sizes")
+    bits, own = BITS // k, F.col("own")
+    one, mask = [1 << (bits * c) for c in range(k)], [((1 << bits) - 1) << (bits * c) for c in range(k)]
+    # A digit more of class i and, where there is one, a digit less of class j.
+    more = lambda i: (own + F.lit(one[i])).bitwiseAND(F.lit(mask[i]))
+    less = lambda j: (own - F.lit(one[j])).bitwiseAND(F.lit(mask[j]))
+    rest = lambda *at: own.bitwiseAND(F.lit(~sum(mask[c] for c in at)))
+    moved = [rest(i, j).bitwiseOR(more(i)).bitwiseOR(less(j)) for i in range(k) for j in range(i + 1, k)]
+    moved += [rest(i).bitwiseOR(more(i)) for i in range(k)]
+    block = F.struct("words", "own", "tiles")
+    met = sizes.select(block.alias("one"), F.explode(F.array(*moved)).alias("to"))
+    met = met.join(sizes.select(F.col("own").alias("to"), block.alias("two")), "to")
+    met = met.select(F.least("one", "two").alias("guest"), F.greatest("one", "two").alias("host"))
+    ways = stored(met.select("guest.own", "guest.tiles", F.col("host.own").alias("to"), F.col("host.tiles").alias("to_tiles")), "block-moves")
+    # At most one row per move or its reverse and block is collected.
     visits = ways.groupBy("own").agg(F.collect_list(F.struct("to", "to_tiles")).alias("visits"))
     turns = ways.groupBy(F.col("to").alias("own")).agg(F.max("tiles").alias("guest_tiles"))
     plan = sizes.join(visits, "own", "left").join(turns, "own", "left")
@@ -104,37 +128,55 @@ def meetings(placed: DataFrame, k: int) -> DataFrame:
     home = F.transform(upto(F.col("turns")), lambda t: place(F.col("own"), F.col("tile"), t, False))
     beside = F.transform(F.filter(upto(F.col("tiles")), lambda t: t < F.col("tile")), lambda t: place(F.col("own"), t, F.col("tile"), True))
     abroad = F.flatten(F.transform(
-        F.coalesce("visits", F.array().cast("array<struct<to:string,to_tiles:int>>")),
+        F.coalesce("visits", F.array().cast("array<struct<to:bigint,to_tiles:int>>")),
         lambda v: F.transform(upto(v["to_tiles"]), lambda t: place(v["to"], t, F.col("tile"), True)),
     ))
     return rows.select("word", "n", F.explode(F.concat(home, beside, abroad)).alias("place")).select("place.*", "word", "n")
 
 
 class Letters:
-    """Words of a group as code points and as letter counts."""
+    """Words as code points and as counts of letters, or of letters by their class."""
 
-    def __init__(self, words: list[str]):
-        self.size = np.array([len(w) for w in words], np.int64)
-        self.flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    def __init__(self, words: list[str], classes: int = 0):
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.start = np.cumsum(self.size) - self.size
-        _, letter = np.unique(self.flat, return_inverse=True)
-        m = int(letter.max(initial=-1)) + 1
+        if classes:
+            # Code points modulo k spread the letters.
+            letter, m = self.flat.astype(np.int64) % classes, classes
+        else:
+            there = np.zeros(int(self.flat.max(initial=0)) + 1, bool)
+            there[self.flat] = True
+            letter, m = (np.cumsum(there) - 1)[self.flat], int(there.sum())
         cell = np.repeat(np.arange(len(words)) * m, self.size) + letter
-        self.counts = np.bincount(cell, minlength=len(words) * m).reshape(len(words), m).astype(np.float32)
-        self.norm = (self.counts**2).sum(1)
+        self.counts = np.bincount(cell, minlength=len(words) * m).reshape(len(words), m)
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose products are the squared distances less 1.5."""
+        norm = (self.counts**2).sum(1)
+        # Products have to be exact.
+        kind = np.float32 if norm.max(initial=0) < 1 << 22 else np.float64
+        counts, norm, ones = self.counts.astype(kind), norm.astype(kind)[:, None], np.ones((len(norm), 1), kind)
+        return np.hstack([-2 * counts, norm - kind(1.5), ones]), np.hstack([counts, ones, norm])
 
     def _cut(self, i: np.ndarray, length: int) -> np.ndarray:
         return self.flat[self.start[i][:, None] + np.arange(length)]
 
     def one_edit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether words i, all of one length, are one edit from words j of that length or one shorter."""
-        out, length = np.zeros(len(i), bool), int(self.size[i[0]]) if len(i) else 0
-        step = max(1, COMPARED // max(length, 1))
-        for shorter in (0, 1):
-            which = np.flatnonzero(self.size[j] == length - shorter)
+        """Whether words i are one edit from words j."""
+        out = np.zeros(len(i), bool)
+        i, j = np.where(self.size[i] < self.size[j], (j, i), (i, j))
+        length, less = self.size[i], self.size[i] - self.size[j]
+        order = np.lexsort((less, length))
+        change = (np.diff(length[order]) != 0) | (np.diff(less[order]) != 0)
+        for which in np.split(order, np.flatnonzero(change) + 1):
+            if not len(which) or less[which[0]] > 1:
+                continue
+            n, shorter = int(length[which[0]]), int(less[which[0]])
+            step = max(1, COMPARED // max(n, 1))
             for at in range(0, len(which), step):
                 some = which[at : at + step]
-                a, b = self._cut(i[some], length), self._cut(j[some], length - shorter)
+                a, b = self._cut(i[some], n), self._cut(j[some], n - shorter)
                 if not shorter:
                     out[some] = (a != b).sum(1) == 1
                     continue
@@ -146,22 +188,34 @@ class Letters:
         return out
 
 
-def near_pairs(own: list[str], guests: list[str], inside: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) in own + guests of the near pairs of own words with guests and, where
-    ``inside``, with each other."""
-    both = Letters(own + guests)
-    n, first = len(own), 0 if inside else len(own)
-    found = []
-    step = max(1, CELLS // max(len(both.size) - first, 1))
-    for a in range(0, n, step):
-        gram = both.counts[a : min(a + step, n)] @ both.counts[first:].T
-        distance = both.norm[a : min(a + step, n), None] + both.norm[None, first:] - 2 * gram
-        i, j = np.nonzero((distance > 0.5) & (distance < 2.5))
-        i, j = i + a, j + first
-        later = j > i
-        i, j = i[later], j[later]
+def near_pairs(words: list[str], groups: Iterable[tuple[int, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the near pairs of every group (start, guests, end, inside): of own words, before
+    ``guests``, with guests and, where ``inside``, with each other."""
+    both = Letters(words)
+    left, right = both.sides()
+    found, waiting, many = [], [], 0
+
+    def settle() -> None:
+        i, j = (np.concatenate(x) for x in zip(*waiting))
         near = both.one_edit(i, j)
         found.append((i[near], j[near]))
+        waiting.clear()
+
+    for start, guests, end, inside in groups:
+        first = start if inside else guests
+        step = max(1, CELLS // max(end - first, 1))
+        for a in range(start, guests, step):
+            off = left[a : min(a + step, guests)] @ right[first:end].T
+            i, j = np.nonzero(np.abs(off, out=off) < 1)
+            i, j = i + a, j + first
+            later = j > i
+            waiting.append((i[later], j[later]))
+            many += len(i)
+            if many > PAIRS:
+                settle()
+                many = 0
+    if waiting:
+        settle()
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -172,21 +226,25 @@ NEAR = pa.schema([("word", pa.string()), ("near", pa.string()), ("near_n", pa.in
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near, near_n): every word (word, n) with every word one edit away."""
-    k = classes_for(words.count())
+    count = words.count()
+    k, calls = classes_for(count), count // CALL + 1
 
     def compare(group: pa.Table) -> pa.Table:
-        guest = group.column("guest").to_numpy()
-        order = np.argsort(guest, kind="stable")
-        names, n = group.column("word").take(order), group.column("n").to_numpy()[order]
-        every, own = names.to_pylist(), int((~guest).sum())
-        inside = group.column("turn")[0].as_py() == 0
-        i, j = near_pairs(every[:own], every[own:], inside)
+        keys = [group.column(c).to_numpy() for c in ("guest", "turn", "tile", "own")]
+        order = np.lexsort(keys)
+        guest, *keys = (x[order] for x in keys)
+        change = np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in keys])) + 1
+        start, end = np.append(0, change), np.append(change, len(order))
+        guests = end - np.add.reduceat(guest.astype(np.int64), start)
+        groups = zip(start.tolist(), guests.tolist(), end.tolist(), (keys[0][start] == 0).tolist())
+        names, n = group.column("word").combine_chunks().take(pa.array(order)), group.column("n").to_numpy()[order]
+        i, j = near_pairs(names.to_pylist(), groups)
         left, right = np.concatenate([i, j]), np.concatenate([j, i])
-        out = [names.take(left), names.take(right), pa.array(n[right], pa.int64())]
-        return pa.table([pa.chunked_array([x]) if isinstance(x, pa.Array) else x for x in out], schema=NEAR)
+        return pa.table([names.take(pa.array(left)), names.take(pa.array(right)), pa.array(n[right], pa.int64())], schema=NEAR)
 
     met = meetings(blocks(words, k), k)
-    return met.groupBy("own", "tile", "turn").applyInArrow(compare, "word string, near string, near_n long")
+    met = met.withColumn("call", F.pmod(F.xxhash64("own", "tile", "turn"), F.lit(calls)))
+    return met.groupBy("call").applyInArrow(compare, "word string, near string, near_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:

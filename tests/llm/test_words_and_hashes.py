@@ -99,6 +99,19 @@ def test_every_pair_of_blocks_meets_once(spark):
     assert all(frozenset((a, b)) in seen for a in words for b in words if a < b and one_edit(a, b))
 
 
+def test_the_smaller_block_travels(spark):
+    rng = random.Random(3)
+    anagrams = {"".join(rng.sample("abcdefg", 7)) for _ in range(40)}
+    placed = variants.blocks(spark.createDataFrame([(w, 1) for w in [*anagrams, "abcdefgh"]], "word string, n long"), 5)
+    assert [r.word for r in variants.meetings(placed, 5).collect() if r.guest] == ["abcdefgh"]
+
+
+def test_words_of_thousands_of_letters(spark):
+    n = {"a" * 5000: 5, "a" * 5001: 50, "a" * 2500 + "b" + "a" * 2500: 500}
+    words = spark.createDataFrame(list(n.items()), "word string, n long")
+    assert as_rows(variants.variant_groups(words)) == brute_groups(n)
+
+
 def test_forms_follow_to_the_last(spark):
     n = {"abcdefgh": 10**6, "abcdefg": 10**4, "abcdefx": 10**2, "abcdexx": 2, "abcdxxx": 2}
     got = {r.word: r.root for r in variants.variant_groups(spark.createDataFrame(list(n.items()), "word string, n long")).collect()}
