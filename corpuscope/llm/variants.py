@@ -66,6 +66,12 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     return counted.filter((F.col("n") >= FEWEST) & (F.length("word") >= SHORTEST))
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that is never a broadcast: these tables grow with the words, and Spark takes them for
+    small after an explode, a Python step or compressed files."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def classes_for(words: int) -> int:
     """Classes of letters that leave about BLOCK words to a block.
 
@@ -112,15 +118,15 @@ def meetings(placed: DataFrame, k: int) -> DataFrame:
     moved += [rest(i).bitwiseOR(more(i)) for i in range(k)]
     block = F.struct("words", "own", "tiles")
     met = sizes.select(block.alias("one"), F.explode(F.array(*moved)).alias("to"))
-    met = met.join(sizes.select(F.col("own").alias("to"), block.alias("two")), "to")
+    met = sorted_join(met, sizes.select(F.col("own").alias("to"), block.alias("two")), "to")
     met = met.select(F.least("one", "two").alias("guest"), F.greatest("one", "two").alias("host"))
     ways = stored(met.select("guest.own", "guest.tiles", F.col("host.own").alias("to"), F.col("host.tiles").alias("to_tiles")), "block-moves")
     # At most one row per move or its reverse and block is collected.
     visits = ways.groupBy("own").agg(F.collect_list(F.struct("to", "to_tiles")).alias("visits"))
     turns = ways.groupBy(F.col("to").alias("own")).agg(F.max("tiles").alias("guest_tiles"))
-    plan = sizes.join(visits, "own", "left").join(turns, "own", "left")
+    plan = sorted_join(sorted_join(sizes, visits, "own", "left"), turns, "own", "left")
     plan = plan.withColumn("turns", F.greatest("tiles", F.coalesce("guest_tiles", F.lit(1)))).drop("guest_tiles")
-    rows = placed.join(plan, "own").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
+    rows = sorted_join(placed, plan, "own").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     place = lambda own, tile, turn, guest: F.struct(
         own.alias("own"), tile.alias("tile"), turn.alias("turn"), F.lit(guest).alias("guest")
@@ -252,7 +258,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(at.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on")), "roots")
+        moved = stored(sorted_join(at, ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on")), "roots")
         at = moved.select("word", "root")
         if not moved.filter("on").head(1):
             return at
@@ -264,7 +270,7 @@ def variant_groups(words: DataFrame, times: float = TIMES) -> DataFrame:
     best = neighbours(words).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best")
     )
-    with_best = words.join(best, "word", "left")
+    with_best = sorted_join(words, best, "word", "left")
     taken = -F.col("best.less") >= F.col("n") * times
     found = stored(
         with_best.select(
@@ -274,7 +280,7 @@ def variant_groups(words: DataFrame, times: float = TIMES) -> DataFrame:
         "forms",
     )
     ends = roots(found.filter("form is not null"))
-    return found.join(ends, "word", "left").select(
+    return sorted_join(found, ends, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
 

@@ -275,3 +275,22 @@ def test_op13_on_the_whole_table(spark, tokenizer, docs):  # noqa: F811
         ids = library_ids(tokenizer, r.text or "")
         want.add((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(r.text or "")))
     assert {tuple(r) for r in queries.op13_bpe(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_variants_broadcast_nothing(spark, monkeypatch):
+    """Tables that grow with the words are sorted and joined, however small Spark takes them for."""
+    plans = []
+    keep = variants.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(variants, "stored", seen)
+    rows = [("abcdefgh", 100), ("abcdefgi", 5), ("abcdefg", 2), ("zyxwvuts", 3)]
+    found = variants.variant_groups(spark.createDataFrame(rows, "word string, n long"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+    assert {r.word: r.root for r in found.collect()} == {
+        "abcdefgh": "abcdefgh", "abcdefgi": "abcdefgh", "abcdefg": "abcdefgh", "zyxwvuts": "zyxwvuts"
+    }
