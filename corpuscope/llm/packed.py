@@ -16,6 +16,9 @@ import numpy as np
 RANGE, DEALT = 1 << 22, 1 << 22
 #: Bits of the ranges that a single block is dealt into.
 FIRST = 6
+#: Bits up to which blocks of texts are dealt into all ranges at once: segments then name more
+#: owners, but bytes of one dealing are on the disk and not of two.
+DIRECT = 12
 #: Bytes of an entry, about: the step from the hash before, more bits, and its place in the block.
 ENTRY_BYTES = 11
 #: A row of a block: its id and where it begins in the block.

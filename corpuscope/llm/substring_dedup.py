@@ -34,6 +34,8 @@ from .ranges import dealt_again
 WIDTH = 13
 #: Words of one block.
 BLOCK = 1 << 20
+#: Bytes that a block sends on at once, about.
+SENT_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 #: What tells rows of one id apart: hash and octets of the text.
 ROW = np.dtype([("row", "<i8"), ("octets", "<i4")])
@@ -81,8 +83,8 @@ def _covered(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids > np.repeat(smallest, np.diff([*begin, len(h)]))
 
 
-def settle(block: int, documents: np.ndarray, sizes, flat, width: int) -> Iterator[tuple]:
-    """SENT rows of one block: its documents, its repeated places and the segments to compare."""
+def settle(block: int, documents: np.ndarray, sizes, flat, width: int, bits: int = packed.FIRST) -> Iterator[tuple]:
+    """SENT rows of one block: its documents, its repeated places and the segments to compare, of 2^bits ranges."""
     at = packed.inside(sizes, width).astype(np.uint32)
     h, more = packed.rolling(flat, width)[at], packed.rolling_more(flat, width)[at]
     order = sort_hashes(h, more).astype(np.uint32)
@@ -96,7 +98,7 @@ def settle(block: int, documents: np.ndarray, sizes, flat, width: int) -> Iterat
         yield -1 - block, PLACES, block, at[here].tobytes()
     owners = np.empty(len(documents), packed.OWNER)
     owners["id"], owners["start"] = documents["id"], documents["start"]
-    for where, data in packed.deal(block, owners, h[~here], more[~here], at[~here], 0, packed.FIRST):
+    for where, data in packed.deal(block, owners, h[~here], more[~here], at[~here], 0, bits):
         yield where, SEGMENTS, block, data
 
 
@@ -136,6 +138,7 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
     bits = packed.range_bits(size / 6)
+    first = bits if bits <= packed.DIRECT else packed.FIRST
     body = text_of(text)
     hashed = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"),
@@ -151,13 +154,15 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
             documents, sizes, flat = (np.concatenate(x) for x in zip(*held))
             held.clear()
             documents["start"] = np.cumsum(sizes) - sizes
-            rows = []
-            # Few rows at a time become Arrow's, so the block isn't held twice.
-            for row in settle(number, documents, sizes, flat, width):
+            rows, octets = [], 0
+            # Few bytes at a time become Arrow's, so the block isn't held twice.
+            for row in settle(number, documents, sizes, flat, width, first):
                 rows.append(row)
-                if len(rows) == 16:
+                octets += len(row[-1])
+                if octets >= SENT_BYTES:
                     yield from _table(rows, SENT).to_batches()
                     rows.clear()
+                    octets = 0
             if rows:
                 yield from _table(rows, SENT).to_batches()
 
@@ -177,11 +182,9 @@ def repeated_places(docs: DataFrame, key: str, text: str, width: int = WIDTH, bl
             yield from settled()
 
     sent = hashed.mapInArrow(blocks, _ddl(SENT))
-    if bits > packed.FIRST:
-        segments = F.col("kind") == SEGMENTS
-        again = dealt_again(sent.filter(segments).select("range", "block", "data"), bits, size / 6)
-        again = again.select("range", F.lit(SEGMENTS).alias("kind"), F.lit(-1).cast("long").alias("block"), "data")
-        sent = again.unionByName(sent.filter(~segments))
+    if bits > first:
+        # Documents and places go with the segments: their blocks are numbered by the task that made them.
+        sent = dealt_again(sent, bits, size / 6)
 
     def compared(group: pa.Table) -> pa.Table:
         """Segments become places; what belongs to a block passes."""

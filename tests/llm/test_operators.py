@@ -851,3 +851,17 @@ def test_windows_that_share_64_bits_stay_apart():
     order = substring_dedup.sort_hashes(h, more)
     hit = substring_dedup._covered(h[order], more[order], ids[order])
     assert set(order[hit].tolist()) == {2}
+
+
+@pytest.mark.parametrize(("bits", "direct"), [(packed.FIRST, packed.FIRST), (9, packed.FIRST), (9, 12)])
+def test_repeats_of_other_blocks_are_found_in_any_number_of_ranges(spark, bits, direct, monkeypatch):
+    """Blocks of many tasks repeat each other's passages, dealt once or twice; each is run once, under one number."""
+    monkeypatch.setattr(packed, "DIRECT", direct, raising=False)
+    monkeypatch.setattr(substring_dedup.repeated_places, "__defaults__", (5, 60))
+    monkeypatch.setattr(packed, "range_bits", lambda n: bits)
+    rng = random.Random(8)
+    passages = [" ".join(f"w{rng.randrange(500)}" for _ in range(12)) for _ in range(6)]
+    rows = [(i, " ".join([*(f"u{i}_{k}" for k in range(10)), rng.choice(passages), f"v{i}", rng.choice(passages)])) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    got = substring_dedup.remove_repeats(frame, width=5).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows, 5)
